@@ -82,3 +82,8 @@ def grouped_batches(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Itera
             held.append(batch.slice(a, b - a))
     if held:
         yield pa.Table.from_batches(held)
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df marked for broadcast if it has at most `rows` rows; beyond that the planner joins it by shuffling."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -182,3 +182,10 @@ def runs(sorted_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return sorted_ids, np.zeros(0, np.int64)
     first = np.concatenate([[0], np.flatnonzero(np.diff(sorted_ids)) + 1])
     return sorted_ids[first], first
+
+
+def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums over [offsets[i], offsets[i+1]), empty segments included."""
+    total = np.zeros(len(values) + 1, np.int64)
+    np.cumsum(values, out=total[1:])
+    return total[offsets[1:]] - total[offsets[:-1]]
