@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, ngram_jaccard, quality_rules, toxicity
+from . import language_id, license_scan, ngram_jaccard, packing, quality_rules, secret_scan, source_mixing, toxicity
 from .common import table
 
 
@@ -22,18 +22,40 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_decisions(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_scan(table(spark, sf_dir, "documents"))
+
+
+def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(table(spark, sf_dir, "documents"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_toxicity": op2_toxicity,
     "op4_quality_rules": op4_quality_rules,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_source_mixing": op6_source_mixing,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_language_id": op9_language_id,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": ngram_jaccard.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
+    "op5_secret_scan": secret_scan.ORACLE,
+    "op6_source_mixing": source_mixing.ORACLE,
 }
