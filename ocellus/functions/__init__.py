@@ -1 +1 @@
-"""Spark analytics for the output of vision models."""
+"""Column expressions and plain-Python values: geometry, colors, text, vectors and configuration."""

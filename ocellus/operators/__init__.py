@@ -1 +1 @@
-"""Spark analytics for the output of vision models."""
+"""Relational operators over model outputs, and numpy kernels for pixels."""

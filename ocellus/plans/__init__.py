@@ -1 +1 @@
-"""Spark analytics for the output of vision models."""
+"""The prediction engine and the registered queries."""

@@ -1 +1 @@
-"""Spark analytics for the output of vision models."""
+"""Readers and writers, model files, and adapters from relational tables to model outputs."""

@@ -1 +1 @@
-"""Spark analytics for the output of vision models."""
+"""Frames as streams."""
