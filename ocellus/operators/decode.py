@@ -149,7 +149,7 @@ def end2end(rows: DataFrame, config: InferenceConfig) -> DataFrame:
     order = Window.partitionBy("image_id").orderBy("pred_id")
     low = (F.col("conf") < G.f32(config.conf)) & ~F.isnan("conf")
     read = rows.withColumn("__stop", F.max(low).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(~F.col("__stop")).drop("__stop")
-    kept = read.filter(class_filter(F.col("cls"), config)).withColumn("det_rank", F.row_number().over(order) - 1).filter(F.col("det_rank") < config.max_det)
+    kept = read.filter(class_filter(F.col("cls"), config)).withColumn("det_rank", F.row_number().over(order).cast("long") - 1).filter(F.col("det_rank") < config.max_det)
     box = G.clip_coords(G.scale_coords(F.struct("x1", "y1", "x2", "y2"), F.col("scale"), F.col("pad_top"), F.col("pad_left")), F.col("orig_h"), F.col("orig_w"))
     keep = [c for c in kept.columns if c not in ("x1", "y1", "x2", "y2")]
     return kept.withColumn("__box", box).select(*keep, "__box.*")

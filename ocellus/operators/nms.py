@@ -131,4 +131,4 @@ def _fold(boxes: DataFrame, threshold: float, columns: tuple[str, ...], image: s
 def ranked(boxes: DataFrame, limit: int, rank: str, image: str = "image_id", score: str = "conf", tie: str = "pred_id") -> DataFrame:
     """The `limit` best rows of each image, with their rank from 0: NaN last, ties by `tie`."""
     w = Window.partitionBy(image).orderBy(F.isnan(score), F.desc(score), F.col(tie))
-    return boxes.withColumn(rank, F.row_number().over(w) - 1).filter(F.col(rank) < limit)
+    return boxes.withColumn(rank, F.row_number().over(w).cast("long") - 1).filter(F.col(rank) < limit)

@@ -64,18 +64,18 @@ def clip_sql(c: str) -> str:
 def nms_sql(candidates: str, over: str, max_det: int) -> str:
     """CTEs that end in `dets`: the rows of the CTE `candidates` that per-class greedy suppression keeps, with det_rank."""
     return f"""
-box AS (SELECT *, row_number() OVER (PARTITION BY image_id, cls ORDER BY conf DESC, pred_id) AS k FROM {candidates}),
-hits AS (
-  SELECT b.image_id, b.cls, b.k, list(a.k) AS by FROM box a JOIN box b ON a.image_id = b.image_id AND a.cls = b.cls AND a.k < b.k
+box AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY image_id, cls ORDER BY conf DESC, pred_id) AS k FROM {candidates}),
+hits AS MATERIALIZED (
+  SELECT b.image_id, b.cls, b.k, list(a.k) AS blockers FROM box a JOIN box b ON a.image_id = b.image_id AND a.cls = b.cls AND a.k < b.k
   WHERE {over} GROUP BY ALL
 ),
-step AS (
-  SELECT box.image_id, box.cls, box.k, by FROM box LEFT JOIN hits USING (image_id, cls, k)
+step AS MATERIALIZED (
+  SELECT box.image_id, box.cls, box.k, blockers FROM box LEFT JOIN hits USING (image_id, cls, k)
 ),
 walk AS (
   SELECT DISTINCT image_id, cls, 0::BIGINT AS k, []::BIGINT[] AS kept FROM box
   UNION ALL
-  SELECT w.image_id, w.cls, s.k, CASE WHEN by IS NOT NULL AND list_has_any(kept, by) THEN kept ELSE list_append(kept, s.k) END
+  SELECT w.image_id, w.cls, s.k, CASE WHEN blockers IS NOT NULL AND list_has_any(kept, blockers) THEN kept ELSE list_append(kept, s.k) END
   FROM walk w JOIN step s ON s.image_id = w.image_id AND s.cls = w.cls AND s.k = w.k + 1
 ),
 kept AS (SELECT image_id, cls, unnest(arg_max(kept, k)) AS k FROM walk GROUP BY image_id, cls),
@@ -328,7 +328,7 @@ def end2end_cutoff(spark: SparkSession, d: str) -> DataFrame:
 
     h = A.head(spark, d).withColumn("b", G.xywh_to_xyxy(F.col("cx"), F.col("cy"), F.col("w"), F.col("h")))
     order = Window.partitionBy("image_id").orderBy(F.desc(F.get("scores", F.lit(0))), "pred_id")
-    rows = h.select("image_id", F.row_number().over(order).alias("pred_id"), "b.*", F.get("scores", F.lit(0)).alias("conf"), F.pmod("pred_id", F.lit(4)).cast("int").alias("cls"), "scale", "pad_top", "pad_left", "orig_h", "orig_w")
+    rows = h.select("image_id", F.row_number().over(order).cast("long").alias("pred_id"), "b.*", F.get("scores", F.lit(0)).alias("conf"), F.pmod("pred_id", F.lit(4)).cast("int").alias("cls"), "scale", "pad_top", "pad_left", "orig_h", "orig_w")
     return _boxes(decode.end2end(rows, InferenceConfig(conf=0.6, max_det=100, classes=(0, 1, 2))))
 
 

@@ -40,7 +40,7 @@ def head(spark: SparkSession, sf_dir: str) -> DataFrame:
     score = lambda k: (F.pmod(F.col("l_extendedprice") * (k + 1), F.lit(1000.0)) / 1000).cast("float")
     out = t.select(
         F.col("l_suppkey").alias("image_id"),
-        F.row_number().over(order).alias("pred_id"),
+        F.row_number().over(order).cast("long").alias("pred_id"),
         (F.col("l_quantity") * 12).cast("float").alias("cx"),
         F.pmod(F.col("l_partkey") * 37, F.lit(640)).cast("float").alias("cy"),
         (20 + F.col("l_discount") * 1000).cast("float").alias("w"),
@@ -137,7 +137,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     total = F.count(F.lit(1)).over(Window.partitionBy("user_id"))
-    return e.select(F.concat(F.lit("video/"), F.col("user_id").cast("string"), F.lit(".mp4")).alias("path"), (F.row_number().over(order) - 1).alias("frame_idx"), total.alias("total_frames"), "event_id", "ts", "event_type", "value")
+    return e.select(F.concat(F.lit("video/"), F.col("user_id").cast("string"), F.lit(".mp4")).alias("path"), (F.row_number().over(order).cast("long") - 1).alias("frame_idx"), total.alias("total_frames"), "event_id", "ts", "event_type", "value")
 
 
 FRAMES_SQL = """frames AS (
