@@ -389,7 +389,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     by_u = Window.partitionBy("u")
     state = None
     while True:
-        both = edges.union(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
+        both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         large = both.withColumn("m", F.least(F.min("v").over(by_u), F.col("u"))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.withColumn("m", F.min("v").over(by_u))
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
