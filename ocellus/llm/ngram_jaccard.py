@@ -338,16 +338,17 @@ def _signed(docs: DataFrame, n: int, bands: int) -> DataFrame:
 
 def _grouped(docs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
     """(gid, bi, bj, b, sid, ids, gids, grams): the members of the forest groups, partitioned and sorted by group."""
-    rows = sets.select("s1", "size", F.explode("bands").alias("key"))
+    # one shuffle by key: groups of one go before anything else is joined or aggregated
+    by_key = Window.partitionBy("key")
+    rows = sets.select("s1", "size", F.explode("bands").alias("key")).withColumn("m", F.count(F.lit(1)).over(by_key)).filter("m > 1")
     live = (
         rows.groupBy("key")
         .agg(F.count("*").alias("m"), F.sum("size").alias("w"), F.bit_xor("s1").alias("f1"), F.sum(F.shiftright("s1", 20)).alias("f2"))
-        .filter("m > 1")
         .groupBy("m", "w", "f1", "f2")
         .agg(F.min("key").alias("key"))
         .select("key", "w")
     )
-    places = rows.join(live, "key").groupBy("s1").agg(F.collect_list(F.struct(F.col("key").alias("gid"), "w")).alias("g"))
+    places = rows.select("s1", "key").join(live, "key").groupBy("s1").agg(F.collect_list(F.struct(F.col("key").alias("gid"), "w")).alias("g"))
     routed = sets.select("s1", F.col("ids").getItem(0).alias("rep"), "ids").join(places, "s1")
     routed = routed.select(F.col("s1").alias("sid"), "rep", "ids", F.col("g").alias("gids"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
