@@ -18,8 +18,8 @@ def f32(x: Value) -> Column:
 
 
 def ratio(a: Value, b: Value) -> Column:
-    """a / b in 32 bits."""
-    return (f32(a) / f32(b)).cast("float")
+    """a / b in 32 bits; null for b = 0, which least() passes over."""
+    return F.try_divide(f32(a), f32(b)).cast("float")
 
 
 def clamp(x: Column, low: Value, high: Value) -> Column:

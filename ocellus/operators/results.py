@@ -67,7 +67,7 @@ def summary_rows(dets: DataFrame, names: DataFrame, normalize: bool = False) ->
     """
     named = with_names(dets, names, F.col("cls").cast("string"))
     w, h = (F.col("orig_w").cast("float"), F.col("orig_h").cast("float")) if normalize else (F.lit(1.0).cast("float"),) * 2
-    box = F.struct(*((F.col(c) / s).cast("float").alias(c) for c, s in (("x1", w), ("y1", h), ("x2", w), ("y2", h))))
+    box = F.struct(*(F.try_divide(F.col(c), s).cast("float").alias(c) for c, s in (("x1", w), ("y1", h), ("x2", w), ("y2", h))))
     return named.select("image_id", "det_rank", "name", F.col("cls").alias("class"), F.col("conf").alias("confidence"), box.alias("box"))
 
 
