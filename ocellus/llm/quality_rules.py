@@ -21,13 +21,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernels as K
-from .common import fresh, prepare
+from .common import cut, fresh, prepare, small
 
 MIN_DOCS = 200
 SPREAD = 12
 #: The narrowest distance of a limit from the median, in thousandths.
 GAP = {"signs": 40, "capitals": 80, "repeats": 80, "digits": 300}
 RULES = tuple(GAP)
+#: Groups up to which the limits are broadcast; beyond that they are joined by shuffling.
+MAX_BROADCAST = 50_000
 #: Added to the denominators: characters, letters, words, characters.
 SMOOTH = {"signs": 40, "capitals": 60, "repeats": 20, "digits": 120}
 
@@ -133,9 +135,9 @@ def judged(docs: DataFrame, names: list[str]) -> DataFrame:
     prepare(docs.sparkSession)
     s, v, failed = names
     signed = docs.withColumn(s, signals(F.col("text")))
-    cut_ = limits(sketches(signed.select("lang", "source", s), s))
+    cut_ = cut(limits(sketches(signed.select("lang", "source", s), s)))
     lang, source = fresh(signed, "limit_lang", "limit_source")
-    cut_ = cut_.select(F.col("lang").alias(lang), F.col("source").alias(source), F.struct(*RULES).alias(v))
+    cut_ = small(cut_.select(F.col("lang").alias(lang), F.col("source").alias(source), F.struct(*RULES).alias(v)), MAX_BROADCAST)
     joined = signed.join(cut_, signed["lang"].eqNullSafe(F.col(lang)) & signed["source"].eqNullSafe(F.col(source)), "left")
     broken = F.when(F.col(f"{s}.words") == 0, F.array(F.lit("empty"))).otherwise(F.filter(F.array(*(F.when(F.col(f"{s}.{r}") > F.col(f"{v}.{r}"), F.lit(r)) for r in RULES)), lambda x: x.isNotNull()))
     return joined.withColumn(failed, broken).drop(lang, source)
