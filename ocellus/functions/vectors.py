@@ -5,12 +5,23 @@ A NaN counts as the lowest value, which is the opposite of Spark's order; each f
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 IGNORE = 65535
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: inside a lambda, other expressions are computed again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
+
+
 def first_best(scores: Column) -> Column:
     """struct(cls, score): the best class, lowest index on ties; NaN never wins. Null for no finite score."""
     clean = F.transform(scores, lambda s: F.when(~F.isnan(s), s))
@@ -29,12 +40,14 @@ def last_best(scores: Column) -> Column:
 def softmax(logits: Column) -> Column:
     """Probabilities in double precision; a vector that is a distribution already (within 0.1) is passed through."""
     wide = F.transform(logits, lambda v: v.cast("double"))
-    total = F.aggregate(wide, F.lit(0.0), lambda acc, v: acc + v)
-    inside = F.forall(wide, lambda v: (v >= 0) & (v <= 1))
-    top = F.array_max(wide)
-    mass = F.aggregate(wide, F.lit(0.0), lambda acc, v: acc + F.exp(v - top))
-    soft = F.transform(wide, lambda v: F.exp(v - top) / mass)
-    return F.when(inside & (F.abs(total - 1) <= 0.1), wide).otherwise(soft)
+
+    def soft(row: Column) -> Column:
+        values, exps = row["values"], F.transform(row["values"], lambda v: F.exp(v - row["top"]))
+        normal = let(F.struct(exps.alias("exps"), _total(exps).alias("mass")), lambda e: F.transform(e["exps"], lambda x: x / e["mass"]))
+        inside = F.forall(values, lambda v: (v >= 0) & (v <= 1))
+        return F.when(inside & (F.abs(row["total"] - 1) <= 0.1), values).otherwise(normal)
+
+    return let(wide, lambda w: let(F.struct(w.alias("values"), F.array_max(w).alias("top"), _total(w).alias("total")), soft))
 
 
 def _ranked(probs: Column) -> Column:
