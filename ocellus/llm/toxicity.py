@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import prepare, small, stable_sample
 
-SAMPLE = 4000
+SAMPLE = 2500
 MIN_DOCS = 4
 MIN_Z = 5.0
 MAX_FEATURES = 8192
