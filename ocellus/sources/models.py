@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import io
+import json
 import re
+import zipfile
+import zlib
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
@@ -18,6 +22,7 @@ from ocellus.operators import planes
 SIZES = ("n", "s", "m", "l", "x")
 NEWEST_ONLY = ("-sem", "-depth")
 MAX_INPUT = 8192
+MAX_METADATA = 4 << 20
 
 
 def catalog(families: DataFrame, newest: DataFrame) -> DataFrame:
@@ -281,3 +286,40 @@ _OUTPUT_ARROW = pa.schema(
     [("path", pa.string()), ("frame_idx", pa.int64()), *((c, pa.int32()) for c in ("orig_h", "orig_w", "in_h", "in_w")), *((c, pa.float32()) for c in ("scale", "pad_top", "pad_left"))]
     + [("outputs", pa.list_(pa.struct([("data", pa.binary()), ("shape", pa.list_(pa.int32()))]))), ("error", pa.string())]
 )
+
+
+def tflite_metadata(model: bytes) -> Metadata | None:
+    """Metadata of a TFLite file: metadata.json in the zip archive at its end; None without one."""
+    try:
+        with zipfile.ZipFile(io.BytesIO(model)) as z:
+            info = z.getinfo("metadata.json")
+            if info.file_size > MAX_METADATA:
+                return None
+            found = json.loads(z.read(info))
+    except (zipfile.BadZipFile, KeyError, ValueError, NotImplementedError, zlib.error):
+        return None
+    if not isinstance(found, dict):
+        return None
+    lines = []
+    for key, value in found.items():
+        if key == "names" and isinstance(value, dict):
+            lines += ["names:", *(f"  {k}: {v if isinstance(v, str) else ''}" for k, v in value.items())]
+        elif key in ("imgsz", "kpt_shape") and isinstance(value, list):
+            lines.append(f"{key}: [{', '.join(str(v) for v in value if isinstance(v, int))}]")
+        elif key != "args" and isinstance(value, (str, int, float)):
+            lines.append(f"{key}: {str(value).lower() if isinstance(value, bool) else value}")
+    return parse_metadata("\n".join(lines))
+
+
+def decode_shapes(flat: list[int], count: int) -> list[list[int]]:
+    """Shapes from one list of rank, extents, rank, extents, ...; anything else is an error."""
+    shapes, at = [], 0
+    while at < len(flat):
+        shape = flat[at + 1 : at + 1 + flat[at]]
+        if len(shape) < flat[at]:
+            raise ModelLoadError("malformed output shapes")
+        shapes.append(list(shape))
+        at += 1 + flat[at]
+    if len(shapes) != count:
+        raise ModelLoadError(f"{len(shapes)} output shapes instead of {count}")
+    return shapes

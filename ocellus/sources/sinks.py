@@ -83,3 +83,22 @@ def write_files(df: DataFrame, folder: str, name: str = "name", data: str = "dat
 def payload(**parts: Column) -> Column:
     """One JSON object of the parts that are not null."""
     return F.to_json(F.struct(*(c.alias(k) for k, c in parts.items())))
+
+
+def box_payload(dets: DataFrame, name: str = "name", color: str = "color") -> DataFrame:
+    """(image_id, boxes): the boxes of an image as a JSON array in rank order, with their names and colors."""
+    one = F.struct("x1", "y1", "x2", "y2", "conf", "cls", F.col(name).alias("name"), F.col(color).alias("color"))
+    rows = F.array_sort(F.collect_list(F.struct("det_rank", one.alias("box"))))
+    return dets.groupBy("image_id").agg(F.to_json(F.transform(rows, lambda r: r["box"])).alias("boxes"))
+
+
+def keypoint_payload(poses: DataFrame) -> DataFrame:
+    """(image_id, keypoints): a JSON array of people, each an array of [x, y, confidence]; a missing confidence is null."""
+    points = F.transform("keypoints", lambda k: F.array(k["x"], k["y"], k["conf"]))
+    rows = F.array_sort(F.collect_list(F.struct("det_rank", points.alias("points"))))
+    return poses.groupBy("image_id").agg(F.to_json(F.transform(rows, lambda r: r["points"])).alias("keypoints"))
+
+
+def plane_payload(data: Column) -> Column:
+    """A plane's bytes in base 64."""
+    return F.base64(data)

@@ -1,6 +1,9 @@
 """Scalar functions, geometry, vectors, configuration and metadata."""
 
+import io
+import json
 import math
+import zipfile
 
 import numpy as np
 import pytest
@@ -10,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ocellus.functions import color, config, geometry as G, text, vectors as V
 from ocellus.operators import nms, planes
-from ocellus.sources.models import class_names, metadata_from_map, onnx_metadata, parse_metadata
+from ocellus.sources.models import class_names, decode_shapes, metadata_from_map, onnx_metadata, parse_metadata, tflite_metadata
 
 
 def one(spark, **cols):
@@ -171,6 +174,23 @@ def test_metadata():
         onnx_metadata(b"\xff\xff\xff")
 
 
+def test_metadata_in_an_archive():
+    out = io.BytesIO(b"model bytes")
+    out.seek(0, 2)
+    with zipfile.ZipFile(out, "a", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("metadata.json", json.dumps({"task": "pose", "imgsz": [64, 32], "names": {"0": "a: b"}, "end2end": True, "args": {"half": True}, "stride": 16}))
+    m = tflite_metadata(out.getvalue())
+    assert (m.task, m.imgsz, dict(m.names), m.end2end, m.stride, m.half) == ("pose", (64, 32), {0: "a: b"}, True, 16, False)
+    assert tflite_metadata(b"nothing") is None
+
+
+def test_flat_shapes():
+    assert decode_shapes([3, 1, 2, 3, 1, 7], 2) == [[1, 2, 3], [7]]
+    for bad, n in (([3, 1], 1), ([1, 7], 2)):
+        with pytest.raises(config.ModelLoadError):
+            decode_shapes(bad, n)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 3000), st.integers(1, 3000))
 def test_letterbox_fits(h, w):

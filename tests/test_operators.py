@@ -1,5 +1,6 @@
 """Suppression, decoding, planes, rendering, sources, the engine and streams."""
 
+import json
 import os
 import tempfile
 
@@ -295,6 +296,13 @@ def test_sinks(spark, tmp_path):
     assert spark.range(1).select(sinks.payload(a=F.lit(1), b=F.lit(None).cast("int")).alias("p")).first().p == '{"a":1}'
 
 
+def test_payloads(spark):
+    dets = spark.createDataFrame([(1, 1, 0.0, 0.0, 1.0, 1.0, 0.5, 3, "b", "#1"), (1, 0, 0.0, 0.0, 2.0, 1.0, 0.9, 2, "a", "#0")], "image_id long, det_rank long, x1 float, y1 float, x2 float, y2 float, conf float, cls int, name string, color string")
+    assert [b["name"] for b in json.loads(sinks.box_payload(dets).first().boxes)] == ["a", "b"]
+    poses = spark.createDataFrame([(1, 0, [(1.0, 2.0, None)])], "image_id long, det_rank long, keypoints array<struct<x:float,y:float,conf:float>>")
+    assert json.loads(sinks.keypoint_payload(poses).first().keypoints) == [[[1.0, 2.0, None]]]
+
+
 def test_stream_equals_batch(spark):
     small = adapters.head(spark, SF).filter("image_id < 4")
     config = InferenceConfig(conf=0.9, iou=0.45)
