@@ -338,9 +338,10 @@ def _signed(docs: DataFrame, n: int, bands: int) -> DataFrame:
 
 def _grouped(docs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
     """(gid, bi, bj, b, sid, ids, gids, grams): the members of the forest groups, partitioned and sorted by group."""
-    # one shuffle by key: groups of one go before anything else is joined or aggregated
+    # one shuffle by key: groups of one go before anything else is joined or aggregated, and what is left is kept
     by_key = Window.partitionBy("key")
     rows = sets.select("s1", "size", F.explode("bands").alias("key")).withColumn("m", F.count(F.lit(1)).over(by_key)).filter("m > 1")
+    rows = cut(rows)
     live = (
         rows.groupBy("key")
         .agg(F.count("*").alias("m"), F.sum("size").alias("w"), F.bit_xor("s1").alias("f1"), F.sum(F.shiftright("s1", 20)).alias("f2"))
@@ -409,7 +410,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHO
     Groups are found from spanning forests, so hot groups cost no list of pairs here.
     """
     signed = cut(_signed(docs, n, bands).withColumn("doc", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tx")))
-    sets = signed.groupBy("s1", "s2").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), F.min("doc").alias("doc"))
+    sets = cut(signed.groupBy("s1", "s2").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), F.min("doc").alias("doc")))
     named = sets.filter(~F.col("doc.z")).select("s1", "s2", "size", "bands", F.array("doc.doc_id").alias("ids"))
     edges = _grouped(docs, named, n).mapInArrow(_group(threshold, True), "u long, v long")
     components = connected_components(edges)
