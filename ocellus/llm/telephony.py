@@ -96,13 +96,17 @@ def resample(clips: list[np.ndarray], rate: int, target: int) -> list[np.ndarray
             out.append(np.zeros(0, np.int16))
             continue
         x = np.concatenate([np.zeros(reach), clip, np.zeros(reach + 1)])
-        at = np.arange(n) * down
-        near, phase = at // up, at % up
         y = np.zeros(n)
-        for k in range(-reach, reach + 1):  # sample near + k stands (k * up - phase) ticks away
-            tick = half + phase - k * up
-            inside = (tick >= 0) & (tick <= 2 * half)
-            y += np.where(inside, taps[np.clip(tick, 0, 2 * half)], 0) * x[near + k + reach]
+        for first in range(min(up, n)):  # outputs first, first + up, ... share one phase; their inputs are `down` apart
+            near, phase = first * down // up, first * down % up
+            count = -(-(n - first) // up)
+            own = np.zeros(count)
+            for k in range(-reach, reach + 1):  # sample near + k stands (k * up - phase) ticks away
+                tick = half + phase - k * up
+                if 0 <= tick <= 2 * half:
+                    begin = near + k + reach
+                    own += taps[tick] * x[begin : begin + (count - 1) * down + 1 : down]
+            y[first::up] = own
         out.append(np.clip(np.rint(y), -32768, 32767).astype(np.int16))
     return out
 
