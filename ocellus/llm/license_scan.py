@@ -6,14 +6,16 @@ Coverage is the share of the template's words that are aligned. A match has at l
 
 Where to align is exact too: a stretch that covers a share t of a template of L words misses at most (1 - t) L of
 them, so it holds one of any floor((1 - t) L) + 1 of its words. The longest words are taken as these keys, and only
-stretches around a key are aligned.
+stretches around a key are aligned, with the key as the first anchor.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from heapq import heappop, heappush
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -112,10 +114,44 @@ def align(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+class Side:
+    """The words on one side of an anchor, nearest first: a of the template, b of the text."""
+
+    def __init__(self, a: list[int], b: list[int]):
+        self.a, self.b = a, b
+        at: dict[int, int] = {}
+        for i, w in enumerate(a):
+            at[w] = at.get(w, 0) | 1 << i
+        #: (most pairs, words of b) of the beginnings of b; no alignment is longer than the longest common subsequence
+        self.bounds: list[tuple[int, int]] = []
+        self.pairs: dict[int, tuple[int, int]] = {0: (0, 0)}
+        every = rest = (1 << len(a)) - 1
+        for j, w in enumerate(b):
+            if w in at:
+                hit = rest & at[w]
+                rest = (rest + hit | rest - hit) & every
+            elif not j or b[j - 1] not in at:
+                continue  # further words that a has not make no difference
+            self.bounds.append((len(a) - rest.bit_count(), j + 1))
+        self.most = len(a) - rest.bit_count()
+
+    def growing(self, least: int) -> list[tuple[int, int]]:
+        """(pairs, words of b that they take) of the beginnings of b with least pairs or more, each with more than any shorter one."""
+        out = [(0, 0)] if least <= 0 else []
+        for bound, j in self.bounds:
+            if bound >= least and bound > (out[-1][0] if out else 0):
+                if j not in self.pairs:
+                    pairs = align(self.a, self.b[:j])
+                    self.pairs[j] = len(pairs), pairs[-1][1] + 1 if pairs else 0
+                if self.pairs[j][0] >= max(least, out[-1][0] + 1 if out else 1):
+                    out.append(self.pairs[j])
+        return out
+
+
 class Templates:
     def __init__(self, texts: Mapping[str, str], coverage: float):
         self.names, self.coverage = list(texts), coverage
-        self.words, self.keys = [], []
+        self.words, self.counts, self.least, self.keys = [], [], [], []
         owners: dict[int, list[tuple[int, int]]] = {}
         for t, text in enumerate(texts.values()):
             raw = np.frombuffer(text.encode(), np.uint8)
@@ -123,6 +159,8 @@ class Templates:
             _, s, e = K.word_spans(low, off)
             words = K.span_hash(K.prefix_hashes(low), s, e).tolist()
             self.words.append(words)
+            self.counts.append(Counter(words))
+            self.least.append(ceil(coverage * len(words)))
             length = dict(zip(words, (e - s).tolist()))
             # with multiplicity: words that may be missing, plus one
             count, need = Counter(words), int((1 - coverage) * len(words)) + 1
@@ -137,41 +175,85 @@ class Templates:
         self.maybe = np.zeros(1 << 18, bool)
         self.maybe[(self.keys >> np.uint64(46)).astype(np.int64)] = True
 
+    def fullest(self, t: int, words: list[int], k: int, place: int, lo: int, hi: int) -> tuple[int, int, int] | None:
+        """(words aligned, first word, end word) of the fullest match of template t in words[lo:hi], then the tightest.
+
+        It aligns word k with the template's word at place. With that pair as an anchor, what is left and right of it is
+        aligned apart, in stretches of every length: longer ones may hold words of other copies, which cost a word its
+        uniqueness.
+        """
+        own, need = self.words[t], self.least[t]
+        begin, end = k - place, k - place + len(own)
+        if lo <= begin and end <= hi and words[begin:end] == own:
+            return len(own), begin, end
+        width = int(len(own) * STRETCH) + SLACK_WORDS
+        lo, hi = max(lo, k - width + 1), min(hi, k + width)
+        count = self.counts[t]
+        if sum(min(n, count.get(w, 0)) for w, n in Counter(words[lo:hi]).items()) < need:
+            return None
+        # the left side is aligned back to front, so that both sides begin at the anchor
+        left, right = Side(own[:place][::-1], words[lo:k][::-1]), Side(own[place + 1 :], words[k + 1 : hi])
+        for goal in range(left.most + right.most + 1, need - 1, -1):
+            ends = right.growing(goal - 1 - left.most)
+            fits = [(m + n + 1, -x - y - 1, x) for m, x in left.growing(goal - 1 - right.most) for n, y in ends if m + n + 1 >= goal and x + y + 1 <= width]
+            if fits:
+                n, wide, x = max(fits)
+                return n, k - x, k - x - wide
+        return None
+
     def matches(self, words: list[int], hits: list[int]) -> list[tuple[int, int, int, int]]:
         """(template, first word, end word, words aligned) in one document, given the places of its key words."""
-        places: dict[int, list[int]] = {}
+        anchors: dict[int, list[tuple[int, int]]] = {}
         for k in hits:
             for t, place in self.owners[words[k]]:
-                places.setdefault(t, []).append(k - place)
+                anchors.setdefault(t, []).append((k, place))
         out = []
-        for t, begins in places.items():
+        for t, pairs in anchors.items():
+            starts: list[int] = []  # of the matches taken, which do not overlap
+            ends: list[int] = []
+            found: list[tuple[int, int, int, int, int]] = []
+
+            def gap(k: int) -> tuple[int, int] | None:
+                """The words around k that no match has taken."""
+                at = bisect_right(starts, k)
+                if at and ends[at - 1] > k:
+                    return None
+                return ends[at - 1] if at else 0, starts[at] if at < len(starts) else len(words)
+
+            def look(k: int, place: int) -> None:
+                if (free := gap(k)) is not None and (best := self.fullest(t, words, k, place, *free)) is not None:
+                    n, a, b = best
+                    heappush(found, (-n, b - a, a, k, place))
+
+            def take() -> None:
+                while found:
+                    n, wide, a, k, place = heappop(found)
+                    free = gap(a)
+                    if free is not None and a + wide <= free[1]:
+                        at = bisect_right(starts, a)
+                        starts.insert(at, a)
+                        ends.insert(at, a + wide)
+                        out.append((t, a, a + wide, -n))
+                    else:  # a fuller one has taken some of its words
+                        look(k, place)
+
+            # nothing is fuller or tighter than a verbatim copy: most other anchors are inside of one and need no look
             own = self.words[t]
-            width = int(len(own) * STRETCH) + SLACK_WORDS
-            slack = width - len(own)
-            found = []
-            for begin in sorted(set(begins)):
-                lo, hi = max(0, begin - slack), min(len(words), begin + len(own) + slack)
-                pairs = align(own, words[lo:hi])
-                # the densest run of aligned words that is no wider than allowed
-                best, left = (0, 0, 0), 0
-                for right in range(len(pairs)):
-                    while pairs[right][1] - pairs[left][1] >= width:
-                        left += 1
-                    if right - left + 1 > best[0]:
-                        best = (right - left + 1, pairs[left][1] + lo, pairs[right][1] + lo + 1)
-                if best[0] >= self.coverage * len(own):
-                    found.append(best)
-            end = -1
-            for n, a, b in sorted(found, key=lambda x: (-x[0], x[1])):
-                if all(b <= y[1] or a >= y[2] for y in out if y[0] == t):
-                    out.append((t, a, b, n))
+            whole = {begin: (k, place) for k, place in pairs if (begin := k - place) >= 0 and words[begin : begin + len(own)] == own}
+            for k, place in whole.values():
+                look(k, place)
+            take()
+            for k, place in pairs:
+                look(k, place)
+            take()
         return sorted(out)
 
 
 def license_scan(docs: DataFrame, templates: Mapping[str, str] | None = None, coverage: float = MIN_COVERAGE) -> DataFrame:
     """(doc_id, license, coverage, first_word, end_word, matched): every match of a template in every row of docs.
 
-    Places count words from 0. Matches of one template do not overlap: the fuller one stands, then the earlier.
+    Places count words from 0. Matches of one template do not overlap: the fuller one stands, then the tighter, then the
+    earlier, and what it leaves is searched again; so copies side by side are all found.
     Uses doc_id and text alone. Defined cases: a null, empty or wordless text has no match; null doc_ids and repeated
     rows are scanned as they come; an empty table gives no rows; texts are scanned whole, at any length.
     """

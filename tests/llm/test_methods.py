@@ -417,6 +417,32 @@ def test_licenses_against_every_window():
             assert t in got or best < 0.85 * len(template)  # every clear match is found
 
 
+@pytest.mark.parametrize("name", license_scan.TEMPLATES)
+def test_licenses_side_by_side(name):
+    text = license_scan.TEMPLATES[name]
+    known = license_scan.Templates({name: text}, license_scan.MIN_COVERAGE)
+    size = len(known.words[0])
+    for copies in range(1, 21):
+        for front, back in (("", ""), ("some other words", "and more of them")):
+            h = K.hash_of(" ".join([front, *[text] * copies, back])).tolist()
+            got = known.matches(h, [k for k, w in enumerate(h) if w in known.owners])
+            first = len(front.split())
+            assert got == [(0, first + k * size, first + (k + 1) * size, size) for k in range(copies)]
+
+
+def test_altered_licenses_side_by_side():
+    rng = random.Random(8)
+    for name, text in license_scan.TEMPLATES.items():
+        own = re.findall(r"\S+", text)
+        known = license_scan.Templates({name: text}, license_scan.MIN_COVERAGE)
+        words = []
+        for _ in range(6):
+            at = rng.randrange(1, len(own))
+            words += [*own[:at], "zzz", *own[at:]]
+        h = K.hash_of(" ".join(words)).tolist()
+        assert len(known.matches(h, [k for k, w in enumerate(h) if w in known.owners])) == 6
+
+
 # kernels and pipeline ---------------------------------------------------------------------------------------------
 
 
