@@ -5,12 +5,13 @@ a strict regex, a check of the content (checksums, ranges), a gazetteer (top-lev
 the words in front. Votes of all candidates are counted by (kind, votes), and expectation-maximisation on these counts
 estimates each labeler's reliabilities and how common true spans are, kind by kind. The posteriors are the soft labels
 of a logistic classifier over the span's shape, its context and the votes; it is fitted on a bounded sample of candidates
-(SAMPLE, those with the smallest hashes) and decides every span.
+(SAMPLE: of each kind and votes, as many as fit, those with the smallest hashes) and decides every span.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import kernels as K
 from .common import cut, fresh, prepare
@@ -166,17 +168,18 @@ def estimate(counts: dict[tuple[str, int], int]) -> dict[tuple[str, int], float]
     return out
 
 
-def fit(features: list[list[int]], soft: np.ndarray) -> np.ndarray:
-    """Weights of the logistic span classifier; the last is the bias."""
+def fit(features: list[list[int]], soft: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """Weights of the logistic span classifier; the last is the bias. weight: what each span counts."""
     w = np.zeros((1 << BITS) + 1)
     if not len(features):
         return w
     row = np.repeat(np.arange(len(features)), [len(f) for f in features])
     col = np.concatenate([np.array(f, np.int64) for f in features])
+    share = np.full(len(features), 1 / len(features)) if weight is None else weight / weight.sum()
     m, s = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, 201):
         z = np.bincount(row, weights=w[col], minlength=len(features)) + w[-1]
-        d = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - soft) / len(features)
+        d = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - soft) * share
         g = 1e-5 * w
         g[:-1] += np.bincount(col, weights=d[row], minlength=len(w) - 1)
         g[-1] += d.sum()
@@ -218,12 +221,27 @@ def propose(docs: DataFrame) -> DataFrame:
 
 
 def train(spans: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """The classifier's weights: reliabilities from the votes on all spans, weights from at most `sample` of them."""
+    """The classifier's weights: reliabilities from the votes on all spans, weights from at most `sample` of them.
+
+    Of every kind and votes the same number is taken, or all, but one at least, whatever sample is. Within a kind the true
+    shares of the votes are restored by weights. A kind counts as much as it has spans in the sample: its features are its
+    own, and by its true share a rare one would be too light against the regulariser.
+    """
     counts = {(r["kind"], r["votes"]): r["n"] for r in spans.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()}
     truth = estimate(counts)
-    order = F.xxhash64("doc_id", "start", "kind", "votes"), "doc_id", "start"
-    rows = spans.select("doc_id", "start", "kind", "votes", "features").orderBy(*order).limit(sample).select("kind", "votes", "features").collect()
-    return fit([r["features"] for r in rows], np.array([truth[r["kind"], r["votes"]] for r in rows]))
+    rows = spans.select("kind", "votes", "features", "doc_id", "start", F.xxhash64("doc_id", "start", "kind", "votes").alias("h"))
+    order = "h", "doc_id", "start", "features"
+    if sum(counts.values()) > sample:
+        most = max([1, *(q for q in range(1, sample + 1) if sum(min(n, q) for n in counts.values()) <= sample)])
+        for part in (F.pmod("h", F.lit(64)),), ():  # in parts first, so that no task sorts all of a hot kind
+            rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("kind", "votes", *part).orderBy(*order))).filter(F.col("n") <= most)
+    taken = rows.orderBy(*order).select("kind", "votes", "features").collect()
+    group = [(r["kind"], r["votes"]) for r in taken]
+    of_group, of_kind, all_of_kind = Counter(group), Counter(k for k, _ in group), Counter()
+    for (kind, _), n in counts.items():
+        all_of_kind[kind] += n
+    weight = np.array([counts[g] / of_group[g] * of_kind[g[0]] / all_of_kind[g[0]] for g in group])
+    return fit([r["features"] for r in taken], np.array([truth[g] for g in group]), weight)
 
 
 def find_pii(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -343,6 +343,16 @@ def test_pii_finds_what_is_planted(spark):
     assert len(want - got) <= 0.01 * len(want) and not got - want
 
 
+def test_pii_of_a_rare_kind(spark):
+    rng = random.Random(9)
+    rows = [(k, f"order {rng.randrange(10**15, 2 * 10**15)} was sent") for k in range(6000)]
+    rows += [(10_000 + k, f"my social security number is {rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)} as said") for k in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = [(r.doc_id, r.kind) for r in pii.find_pii(docs, sample=60).collect()]
+    assert sorted(k for k, kind in got if kind == "SSN") == list(range(10_000, 10_005))
+    assert len(got) <= 0.02 * len(rows)
+
+
 # 8 ----------------------------------------------------------------------------------------------------------------
 
 
