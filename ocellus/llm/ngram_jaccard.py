@@ -3,19 +3,23 @@
 Each document is its set of word n-grams (48-bit hashes of lower-cased words). The join finds the pairs
 of documents whose sets have Jaccard similarity of at least a threshold:
 
-1. Documents with one and the same set are collapsed; the set goes on once, with the list of its documents.
-2. Sets are routed to *forest groups* by MinHash bands (three values a band), so that only sets that may be
-   similar ever meet. Groups of one are dropped and groups with the same members are kept once; these
-   decisions move 16 bytes a row, no texts.
-3. The n-gram sets of what is left go to their groups. In each group a *signature tree* is built: leaves are
-   the members' token bitmaps, every node above holds the OR of its children's bitmaps and the range of their
-   sizes. The tree is traversed against itself, a pair of nodes at a time, and a pair of nodes is dropped when
-   the largest overlap that any two members below could have is too small for the threshold.
-4. Pairs that reach the leaves are verified exactly, and reported by the first of the groups that they share.
-
-Groups with more n-grams than BLOCK_GRAMS are split into blocks, and each pair of blocks becomes a task of its
-own: memory is bounded and nothing is capped. Recall against brute force depends on the bands alone:
-1 - (1 - j^3)^BANDS, that is 0.996 at j = 0.55 and more above.
+1. Documents with one and the same set (128 bits) are collapsed; the set goes on once.
+2. Sets are routed to *groups* by MinHash bands (three values a band), so that only sets that may be similar
+   ever meet. Groups of one are dropped and groups with the same members are kept once; these decisions move
+   16 bytes a row, no texts. The n-grams of the sets that are left are then made, of those documents alone.
+3. Similar sets are linked, in two rounds. In the first each set goes to the largest of its groups only; in the
+   second to those of its groups that hold sets which the first has not linked. Links make components.
+4. Every pair of similar sets that any link connects lies in one component, so each set goes to its component
+   once, and all pairs are found there.
+
+Wherever sets meet, in 3 and 4, they meet in a *signature tree*: leaves are the members' token bitmaps, every node
+above holds the OR of its children's bitmaps and the range of their sizes. The tree is traversed against itself, a
+pair of nodes at a time, and a pair of nodes is dropped when the largest overlap that any two members below could
+have is too small for the threshold. Pairs that reach the leaves are verified exactly.
+
+Groups and components with more n-grams than BLOCK_GRAMS are split into blocks, and each pair of blocks becomes a
+task of its own: memory is bounded and nothing is capped. A pair is lost only if no band routes it and no chain of
+other pairs links it either: at similarity j the bands alone find 1 - (1 - j^3)^BANDS, 0.9999 at 0.55.
 """
 
 from __future__ import annotations
@@ -30,14 +34,16 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import kernels as K
-from .common import cut, fresh, grouped_batches, prepare
+from .common import Scratch, columns, cut, fresh, grouped_batches, key_filter, may_hold, orderable, prepare
 
 N = 2
 THRESHOLD = 0.55
-BANDS = 30
+BANDS = 50
 ROWS = 3
-#: n-grams of one block of a forest group (6 bytes each).
+#: n-grams of one block of a group or component (6 bytes each).
 BLOCK_GRAMS = 4_000_000
+#: Documents with one and the same set that travel as one list; more are split.
+LIST_IDS = 4096
 #: Bits of a signature; up to so many different shared tokens a bitmap is exact.
 MAX_BITS = 16_384
 LEAF, FAN = 16, 8
@@ -71,41 +77,43 @@ def _sign(n: int, bands: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tx = batch.column("doc_id"), batch.column("tx")
             for row, _, d, g in _sets(batch.column("text"), n):
                 u, first = K.runs(d)
                 if not len(u):
                     continue
                 s1, s2 = _set_ids(g, first)
                 x = K.mix(g)
+                far = x >> np.uint64(29)
                 keys = np.zeros((len(u), bands), np.uint64)
                 for k in range(bands * rows):
-                    low = np.minimum.reduceat(x * mult[k] ^ (x >> np.uint64(29)), first)
+                    low = np.minimum.reduceat(x * mult[k] ^ far, first)
                     keys[:, k // rows] = K.mix(keys[:, k // rows] * np.uint64(31) + low + np.uint64(k // rows))
                 at = pa.array(row + u)
                 flat = pa.array(keys.reshape(-1).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), flat)
                 size = np.diff(np.append(first, len(g))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids.take(at), tx.take(at), pa.array(s1), pa.array(s2), pa.array(size), lists], ["doc_id", "tx", "s1", "s2", "size", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("k").take(at), pa.array(s1), pa.array(s2), pa.array(size), lists], ["doc_id", "k", "s1", "s2", "size", "bands"])
 
     return run
 
 
-def _grams(n: int):
+def _grams(n: int, wanted):
+    """The sets of the documents whose key the filter `wanted` holds."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            want = batch.column("sid").to_numpy()
-            for row, _, d, g in _sets(batch.column("text"), n):
+            mine = batch.filter(pa.array(wanted.value.holds(batch.column("k").to_numpy())))
+            if not mine.num_rows:
+                continue
+            for _, _, d, g in _sets(mine.column("text"), n):
                 u, first = K.runs(d)
                 if not len(u):
                     continue
-                same = _set_ids(g, first)[0] == want[row + u]
-                ends = np.append(first, len(g))
+                s1, s2 = _set_ids(g, first)
+                ends = np.append(first, len(g)) * _GRAM_BYTES
                 raw = np.ascontiguousarray(g.view(np.uint8).reshape(-1, 8)[:, :_GRAM_BYTES]).tobytes()
-                at = np.flatnonzero(same)
-                packed = [raw[ends[k] * _GRAM_BYTES : ends[k + 1] * _GRAM_BYTES] for k in at]
-                rows = pa.array(row + u[at])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in ("sid", "ids", "gids")), pa.array(packed, pa.binary())], ["sid", "ids", "gids", "grams"])
+                packed = [raw[a:b] for a, b in zip(ends[:-1], ends[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(s1), pa.array(s2), pa.array(packed, pa.binary())], ["s1", "s2", "grams"])
 
     return run
 
@@ -194,7 +202,7 @@ def _bitmaps(member: np.ndarray, token: np.ndarray, members: int, width: int) ->
 def similar_pairs(sets: list[np.ndarray], t: float, side: np.ndarray | None = None, skip=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, overlap) of the pairs of sorted sets with Jaccard >= t, found with a signature tree.
 
-    side: if given, only pairs of different sides. skip(i, j): pairs that another group reports.
+    side: if given, only pairs of different sides. skip(i, j): pairs to pass over; asked as the search goes on.
     """
     m = len(sets)
     sizes = np.fromiter(map(len, sets), np.int64, m)
@@ -239,129 +247,179 @@ def similar_pairs(sets: list[np.ndarray], t: float, side: np.ndarray | None = No
             yield i[ok], j[ok], overlap[ok]
 
 
-def _group(t: float, edges: bool):
-    """Joins each forest group. edges: a spanning forest of the group's similar sets, else all pairs of documents."""
-
-    def members(table: pa.Table):
-        table = table.combine_chunks()
-        sid = table.column("sid").to_numpy()
-        if len(sid) > 1:
-            sid, at = np.unique(sid, return_index=True)  # a document that stands in the table twice comes twice
-            table = table.take(pa.array(at))
-        packed = table.column("grams").to_pylist()
-        sets = []
-        for x in packed:
-            wide = np.zeros((len(x) // _GRAM_BYTES, 8), np.uint8)
-            wide[:, :_GRAM_BYTES] = np.frombuffer(x, np.uint8).reshape(-1, _GRAM_BYTES)
-            sets.append(wide.view(np.uint64).reshape(-1))
-        return table, sid, sets
-
-    def skipper(table: pa.Table, gid: int):
-        """Pairs that share an earlier group are reported there."""
-        lists = table.column("gids").combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        flat = lists.flatten().to_numpy()
-        lengths = lists.value_lengths().to_numpy()
-        owner = np.repeat(np.arange(len(lengths)), lengths)
-        before = flat < gid
-        flat, owner = flat[before], owner[before]
-        _, token, count = np.unique(flat, return_inverse=True, return_counts=True)
-        keep = count[token] > 1
-        if not keep.any():
-            return None
-        number = np.cumsum(count > 1) - 1
-        mask = _bitmaps(owner[keep], number[token[keep]], len(lengths), int((count > 1).sum()))
-        return lambda i, j: (mask[i] & mask[j]).any(axis=1)
+def _members(table: pa.Table, names: list[str]) -> tuple[pa.Table, list[np.ndarray], list[np.ndarray]]:
+    """A group without repeated members: its rows, the named columns and the sets. A row that the table holds twice comes twice."""
+    table = table.combine_chunks()
+    found = [table.column(c).to_numpy() for c in names]
+    order = np.lexsort(found[::-1])
+    first = np.ones(len(order), bool)
+    first[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in found])
+    at = order[first]
+    table = table.take(pa.array(at)).combine_chunks()
+    sets = []
+    for x in table.column("grams").to_pylist():
+        wide = np.zeros((len(x) // _GRAM_BYTES, 8), np.uint8)
+        wide[:, :_GRAM_BYTES] = np.frombuffer(x, np.uint8).reshape(-1, _GRAM_BYTES)
+        sets.append(wide.view(np.uint64).reshape(-1))
+    return table, [c[at] for c in found], sets
+
+
+def _numbered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Each pair (a, b) as a number from 0; equal pairs, equal numbers."""
+    order = np.lexsort((b, a))
+    change = np.zeros(len(order), np.int64)
+    change[1:] = (a[order][1:] != a[order][:-1]) | (b[order][1:] != b[order][:-1])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(change)
+    return out
+
+
+_GROUP = ["g1", "g2", "bi", "bj"]
+
+
+def _link(t: float):
+    """Each linked member of a group (u) with one that stands for all that it is linked to (v). Members of one label (c1, c2) are linked already.
+
+    whole: the group, or the block, met itself, and no other task of the same round names u by another v.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[np.ndarray, ...]] = []
-        held = 0
-        for group in grouped_batches(batches, ["gid", "bi", "bj"]):
+        for group in grouped_batches(batches, _GROUP):
             if group.num_rows < 2:
                 continue
-            gid, bi, bj = (group.column(c)[0].as_py() for c in ("gid", "bi", "bj"))
-            table, sid, sets = members(group)
-            if len(sid) < 2:
+            bi, bj = (group.column(c)[0].as_py() for c in ("bi", "bj"))
+            table, (s1, s2), sets = _members(group, ["s1", "s2"])
+            label = _numbered(table.column("c1").to_numpy(), table.column("c2").to_numpy())
+            if label.max() == 0:
+                continue
+            _, first, inverse = np.unique(label, return_index=True, return_inverse=True)
+            root = first[inverse]
+            if bi != bj:
+                side = (table.column("b").to_numpy() == bj).astype(np.int64)
+            else:
+                side = label if len(first) < len(label) else None
+            linked = False
+            for i, j, _ in similar_pairs(sets, t, side, lambda i, j: root[i] == root[j]):
+                while True:
+                    a, b = root[i], root[j]
+                    apart = a != b
+                    if not apart.any():
+                        break
+                    high, at = np.unique(np.maximum(a, b)[apart], return_index=True)
+                    link = np.arange(len(root))
+                    link[high] = np.minimum(a, b)[apart][at]
+                    while (link[link] != link).any():
+                        link = link[link]
+                    root = link[root]
+                    linked = True
+            if linked:
+                names, size = np.unique(root, return_counts=True)
+                i = np.flatnonzero(np.isin(root, names[size > 1]))
+                j = root[i]
+                yield pa.RecordBatch.from_arrays([pa.array([bi == bj] * len(i)), *(pa.array(c) for c in (s1[i], s2[i], s1[j], s2[j]))], ["whole", "u1", "u2", "v1", "v2"])
+
+    return run
+
+
+def _pairs(t: float):
+    """All pairs of documents of each component, but for those with one and the same set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped_batches(batches, _GROUP):
+            if group.num_rows < 2:
                 continue
+            bi, bj = (group.column(c)[0].as_py() for c in ("bi", "bj"))
+            table, (s1, s2, _), sets = _members(group, ["s1", "s2", "part"])
+            same = _numbered(s1, s2)
             side = None if bi == bj else (table.column("b").to_numpy() == bj).astype(np.int64)
             ids = table.column("ids").combine_chunks()
             ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
             flat, count = ids.flatten().to_numpy(), ids.value_lengths().to_numpy().astype(np.int64)
             begin = np.cumsum(count) - count
             sizes = np.fromiter(map(len, sets), np.int64, len(sets))
-            root = np.arange(len(sid))
-            for i, j, overlap in similar_pairs(sets, t, side, skipper(table, gid)):
-                if edges:
-                    while True:
-                        a, b = root[i], root[j]
-                        apart = a != b
-                        if not apart.any():
-                            break
-                        high, at = np.unique(np.maximum(a, b)[apart], return_index=True)
-                        lows = np.minimum(a, b)[apart][at]
-                        out.append((sid[i[apart][at]], sid[j[apart][at]]))
-                        held += len(at)
-                        link = np.arange(len(root))
-                        link[high] = lows
-                        while (link[link] != link).any():
-                            link = link[link]
-                        root = link[root]
-                else:
-                    jaccard = overlap / (sizes[i] + sizes[j] - overlap)
-                    total = count[i] * count[j]
-                    pair = np.repeat(np.arange(len(i)), total)
+            for i, j, overlap in similar_pairs(sets, t, side, lambda i, j: same[i] == same[j]):
+                jaccard = overlap / (sizes[i] + sizes[j] - overlap)
+                upto = np.cumsum(count[i] * count[j])
+                at = 0
+                while at < len(i):  # lists of copies multiply: some pairs of sets at a time
+                    end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 17), side="right")))
+                    x, y = i[at:end], j[at:end]
+                    total = count[x] * count[y]
+                    pair = np.repeat(np.arange(len(x)), total)
                     k = np.arange(total.sum()) - np.repeat(np.cumsum(total) - total, total)
-                    a, b = flat[begin[i][pair] + k // count[j][pair]], flat[begin[j][pair] + k % count[j][pair]]
+                    a, b = flat[begin[x][pair] + k // count[y][pair]], flat[begin[y][pair] + k % count[y][pair]]
                     ok = a != b
-                    out.append((np.minimum(a, b)[ok], np.maximum(a, b)[ok], jaccard[pair][ok]))
-                    held += int(ok.sum())
-                if held > 1 << 17:
-                    yield _record(out, edges)
-                    out, held = [], 0
-        if out:
-            yield _record(out, edges)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok]), pa.array(jaccard[at:end][pair][ok])], ["doc_id_a", "doc_id_b", "jaccard"])
+                    at = end
 
     return run
 
 
-def _record(out: list[tuple[np.ndarray, ...]], edges: bool) -> pa.RecordBatch:
-    names = ["u", "v"] if edges else ["doc_id_a", "doc_id_b", "jaccard"]
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, k, text): k names the row's number and text."""
+    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return light.select("doc_id", F.xxhash64("doc_id", "text").alias("k"), "text")
 
 
-def _signed(docs: DataFrame, n: int, bands: int) -> DataFrame:
-    """(doc_id, tx, s1, s2, size, bands) of the documents with words; tx names the row's text."""
-    prepare(docs.sparkSession)
-    light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tx"), F.col("text").cast("string").alias("text"))
-    return light.mapInArrow(_sign(n, bands, ROWS), "doc_id long, tx long, s1 long, s2 long, size int, bands array<long>")
+def _signed(keyed: DataFrame, n: int, bands: int) -> DataFrame:
+    """(doc_id, k, s1, s2, size, bands) of the documents with words."""
+    prepare(keyed.sparkSession)
+    return keyed.mapInArrow(_sign(n, bands, ROWS), "doc_id long, k long, s1 long, s2 long, size int, bands array<long>")
 
 
-def _grouped(docs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
-    """(gid, bi, bj, b, sid, ids, gids, grams): the members of the forest groups, partitioned and sorted by group."""
-    # one shuffle by key: groups of one go before anything else is joined or aggregated, and what is left is kept
+def _routes(signed: DataFrame, tables: Scratch) -> DataFrame:
+    """(s1, key, m, w): the groups of each set, with their members and n-grams, but for groups of one and for repeats."""
     by_key = Window.partitionBy("key")
-    rows = sets.select("s1", "size", F.explode("bands").alias("key")).withColumn("m", F.count(F.lit(1)).over(by_key)).filter("m > 1")
-    rows = cut(rows)
+    sets = signed.groupBy("s1", "s2").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
+    # one shuffle by key: groups of one go before anything else is joined or aggregated
+    rows = tables.keep(sets.select("s1", "size", F.explode("bands").alias("key")).withColumn("m", F.count(F.lit(1)).over(by_key)).filter("m > 1").drop("m"))
     live = (
         rows.groupBy("key")
         .agg(F.count("*").alias("m"), F.sum("size").alias("w"), F.bit_xor("s1").alias("f1"), F.sum(F.shiftright("s1", 20)).alias("f2"))
         .groupBy("m", "w", "f1", "f2")
         .agg(F.min("key").alias("key"))
-        .select("key", "w")
+        .select("key", "m", "w")
     )
-    places = rows.select("s1", "key").join(live, "key").groupBy("s1").agg(F.collect_list(F.struct(F.col("key").alias("gid"), "w")).alias("g"))
-    routed = sets.select("s1", F.col("ids").getItem(0).alias("rep"), "ids").join(places, "s1")
-    routed = routed.select(F.col("s1").alias("sid"), "rep", "ids", F.col("g").alias("gids"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    packed = texts.join(routed, "rep").select("sid", "ids", "gids", "text")
-    schema = "sid long, ids array<long>, gids array<struct<gid:long,w:long>>, grams binary"
-    packed = packed.mapInArrow(_grams(n), schema)
-    blocks = F.ceil(F.col("g.w") / BLOCK_GRAMS).cast("int")
-    placed = packed.select("sid", "ids", "grams", F.col("gids.gid").alias("gids"), F.explode("gids").alias("g")).select("sid", "ids", "grams", "gids", F.col("g.gid").alias("gid"), blocks.alias("c"))
-    placed = placed.withColumn("b", F.pmod(F.xxhash64("sid"), F.col("c")).cast("int"))
-    placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
-    placed = placed.select("gid", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "b", "sid", "ids", "gids", "grams")
-    return placed.repartition("gid", "bi", "bj").sortWithinPartitions("gid", "bi", "bj")
+    return tables.keep(rows.select("s1", "key").join(live, "key").select("s1", "key", "m", "w"))
+
+
+def _placed(packed: DataFrame, places: DataFrame, on: list[str], carried: list[str]) -> DataFrame:
+    """The sets in their groups (g1, g2), in blocks, partitioned and sorted by group; places: on, g1, g2, w and what is carried."""
+    rows = packed.join(places, on)
+    rows = rows.withColumn("c", F.ceil(F.col("w") / BLOCK_GRAMS).cast("int"))
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("s1", "s2"), F.col("c")).cast("int"))
+    rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1)))
+    rows = rows.select("g1", "g2", F.least("b", "o").alias("bi"), F.greatest("b", "o").alias("bj"), "b", "s1", "s2", *carried, "grams")
+    return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+
+
+def _components(keyed: DataFrame, signed: DataFrame, n: int, threshold: float, tables: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(s1, s2, c1, c2): the component of each set that is similar to another; and (s1, s2, grams) of these sets, and some more."""
+    routes = _routes(signed, tables)
+    live = tables.keep(signed.join(routes.select("s1").distinct(), "s1").groupBy("s1", "s2").agg(F.min("k").alias("k")))
+    wanted = key_filter(live, "k")
+    packed = tables.keep(keyed.select("k", "text").mapInArrow(_grams(n, wanted), "s1 long, s2 long, grams binary"))
+    link = _link(threshold)
+
+    def linked(rows: DataFrame, places: DataFrame) -> DataFrame:
+        return _placed(rows, places, ["s1", "s2"], ["c1", "c2"]).mapInArrow(link, "whole boolean, u1 long, u2 long, v1 long, v2 long")
+
+    zero = F.lit(0).cast("long").alias("g2")
+    best = routes.groupBy("s1").agg(F.max(F.struct("m", "key", "w")).alias("g")).select("s1", F.col("g.key").alias("g1"), zero, F.col("g.w").alias("w"))
+    best = best.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("g1"))).filter("m > 1").drop("m")
+    pairs = live.select("s1", "s2")
+    first = tables.keep(linked(packed, pairs.join(best, "s1").select("s1", "s2", "g1", "g2", "w", F.col("s1").alias("c1"), F.col("s2").alias("c2"))))
+    # a set is in one group of the first round, so what it is linked to there is known without more ado
+    known = first.filter("whole").select(F.col("u1").alias("s1"), F.col("u2").alias("s2"), F.col("v1").alias("c1"), F.col("v2").alias("c2"))
+    labelled = pairs.join(known, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("c1", "s1").alias("c1"), F.coalesce("c2", "s2").alias("c2"))
+    rest = tables.keep(routes.join(labelled, "s1").select("s1", "s2", "c1", "c2", "key", "w"))
+    open_ = rest.groupBy("key").agg(F.min(F.struct("c1", "c2")).alias("low"), F.max(F.struct("c1", "c2")).alias("high")).filter("low <> high").select("key")
+    places = tables.keep(rest.join(open_, "key").select("s1", "s2", F.col("key").alias("g1"), zero, "w", "c1", "c2"))
+    again = key_filter(places.select("s1").distinct(), "s1")
+    edges = first.unionByName(linked(packed.filter(may_hold(F.col("s1"), again)), places))
+    edges = edges.select(F.struct(F.col("u1").alias("s1"), F.col("u2").alias("s2")).alias("u"), F.struct(F.col("v1").alias("s1"), F.col("v2").alias("s2")).alias("v"))
+    found = connected_components(edges, tables).select("node.s1", "node.s2", F.col("component.s1").alias("c1"), F.col("component.s2").alias("c2"))
+    return found, packed
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
@@ -370,24 +428,37 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
     docs needs `doc_id` and `text`; other columns are ignored, whatever their names. Defined cases: a null, empty
     or wordless text has no n-grams and no partner; a text of 1 to n-1 words has one n-gram, of all its words; rows
     with a null doc_id cannot be named in a pair and are left out; repeated rows count once, and a document is
-    never paired with itself; an empty table gives no rows. Texts are used whole, at any length.
+    never paired with itself; rows of one doc_id and different texts are compared each, and a pair comes once for each
+    two sets that agree; an empty table gives no rows. Texts are used whole, at any length.
     """
-    signed = _signed(docs.filter(F.col("doc_id").isNotNull()), n, bands)
-    sets = signed.groupBy("s1", "s2").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), F.sort_array(F.collect_set("doc_id")).alias("ids"))
-    sets = cut(sets)
-    near = _grouped(docs, sets, n).mapInArrow(_group(threshold, False), "doc_id_a long, doc_id_b long, jaccard double")
-    copies = sets.filter(F.size("ids") > 1).select("ids", F.posexplode("ids").alias("k", "doc_id_a"))
-    copies = copies.select("doc_id_a", F.explode(F.slice("ids", F.col("k") + 2, F.size("ids"))).alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
+    keyed = _keyed(docs).filter("doc_id IS NOT NULL")
+    with Scratch(docs.sparkSession) as tables:
+        signed = tables.keep(_signed(keyed, n, bands))
+        components, packed = _components(keyed, signed, n, threshold, tables)
+        parts = signed.groupBy("s1", "s2").agg(F.ceil(F.count("*") / LIST_IDS).cast("int").alias("parts"))
+        named = signed.select("s1", "s2", "size", "doc_id").join(parts, ["s1", "s2"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+        lists = tables.keep(named.groupBy("s1", "s2", "size", "part").agg(F.sort_array(F.collect_set("doc_id")).alias("ids")))
+        here = lists.join(components, ["s1", "s2"])
+        weight = here.groupBy("c1", "c2").agg(F.sum("size").alias("w"))
+        places = here.join(weight, ["c1", "c2"]).select("s1", "s2", F.col("c1").alias("g1"), F.col("c2").alias("g2"), "w", "part", "ids")
+        together = cut(_placed(packed, places, ["s1", "s2"], ["part", "ids"]))
+        left = lists.select("s1", "s2", F.col("part").alias("pa"), F.col("ids").alias("a"))
+        right = lists.select("s1", "s2", F.col("part").alias("pb"), F.col("ids").alias("b"))
+        twice = cut(left.join(right, ["s1", "s2"]).filter("pa < pb OR (pa = pb AND size(a) > 1)").select("pa", "pb", "a", "b"))
+    near = together.mapInArrow(_pairs(threshold), "doc_id_a long, doc_id_b long, jaccard double")
+    copies = twice.select("pa", "pb", F.explode("a").alias("x"), "b")
+    copies = copies.select("x", F.explode(F.filter("b", lambda y: (F.col("pa") < F.col("pb")) | (y > F.col("x")))).alias("y"))
+    copies = copies.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
     return near.unionByName(copies)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) of an undirected graph with bigint edges (u, v); a component is named by its smallest node.
+def connected_components(edges: DataFrame, tables: Scratch) -> DataFrame:
+    """(node, component) of an undirected graph with edges (u, v) of any type that can be compared; a component is named by its smallest node.
 
     Alternating large-star and small-star rounds; each is one shuffle over the edges, and each pair of rounds
-    is checkpointed. Nodes without edges do not appear.
+    is written. Nodes without edges do not appear.
     """
-    edges = cut(edges.filter("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct())
+    edges = tables.keep(edges.filter("u <> v").select(F.least("u", "v").alias("v"), F.greatest("u", "v").alias("u")).distinct())
     by_u = Window.partitionBy("u")
     state = None
     while True:
@@ -395,7 +466,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.withColumn("m", F.least(F.min("v").over(by_u), F.col("u"))).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.withColumn("m", F.min("v").over(by_u))
         small = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        edges = cut(small)
+        edges = tables.keep(small)
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -405,26 +476,36 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
     """docs without the near duplicates: of each group of documents that are linked by Jaccard >= threshold, one row stays.
 
-    The row with the smallest doc_id stays (a null doc_id is larger than any; ties: the text with the smaller hash),
-    with all its columns. Repeated rows count as copies. Rows without words (null, empty, signs only) stay, all of them.
-    Groups are found from spanning forests, so hot groups cost no list of pairs here.
+    The row with the smallest doc_id stays (a null doc_id is larger than any, and such rows are compared like all others;
+    ties: the smaller hash of number and text, then the smaller row, by its columns in order), with all its columns.
+    Repeated rows count as copies. Rows without words (null, empty, signs only) stay, all of them. An empty table gives
+    no rows; texts are used whole, at any length; other columns may have any name.
+    Groups are found from spanning forests, so hot groups cost no list of pairs here. Only rows that may go, and those
+    with which they are told apart, are moved; the others pass a filter of the keys that are in question.
     """
-    signed = cut(_signed(docs, n, bands).withColumn("doc", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "tx")))
-    sets = cut(signed.groupBy("s1", "s2").agg(F.first("size").alias("size"), F.first("bands").alias("bands"), F.min("doc").alias("doc")))
-    named = sets.filter(~F.col("doc.z")).select("s1", "s2", "size", "bands", F.array("doc.doc_id").alias("ids"))
-    edges = _grouped(docs, named, n).mapInArrow(_group(threshold, True), "u long, v long")
-    components = connected_components(edges)
-    labelled = sets.select("s1", "doc").join(components, F.col("s1") == F.col("node"), "left").select("s1", "doc", F.coalesce("component", "s1").alias("component"))
-    kept = labelled.groupBy("component").agg(F.min("doc").alias("doc")).select("doc.doc_id", "doc.tx")
-    seen = signed.select("doc_id", "tx").distinct()
-    one = kept.select(F.col("doc_id").alias("k_id"), F.col("tx").alias("k_tx")).distinct()
-    flags = seen.join(one, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("tx") == F.col("k_tx")), "left").select("doc_id", "tx", F.col("k_tx").isNotNull().alias("keep"))
-    f_id, f_tx, f_keep, row, text = fresh(docs, "id", "tx", "keep", "row", "text_hash")
-    flags = flags.select(F.col("doc_id").alias(f_id), F.col("tx").alias(f_tx), F.col("keep").alias(f_keep))
-    named = docs.withColumn(text, F.xxhash64("text"))
-    joined = named.join(flags, F.col("doc_id").cast("long").eqNullSafe(F.col(f_id)) & (F.col(text) == F.col(f_tx)), "left")
-    joined = joined.withColumn(row, F.row_number().over(Window.partitionBy("doc_id", text).orderBy(F.lit(0))))
-    return joined.filter(F.col(f_keep).isNull() | (F.col(f_keep) & (F.col(row) == 1))).select(docs.columns)
+    keyed = _keyed(docs)
+    with Scratch(docs.sparkSession) as tables:
+        signed = tables.keep(_signed(keyed, n, bands))
+        components, _ = _components(keyed, signed, n, threshold, tables)
+        doc = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "k")
+        rows = signed.groupBy("doc_id", "k", "s1", "s2").agg(F.count("*").alias("n"))
+        rows = rows.join(components, ["s1", "s2"], "left").select("doc_id", "k", "n", F.coalesce("c1", "s1").alias("c1"), F.coalesce("c2", "s2").alias("c2"))
+        rows = rows.withColumn("doc", doc)
+        kept = rows.groupBy("c1", "c2").agg(F.min("doc").alias("best"), F.count("*").alias("m")).filter("m > 1")
+        told = rows.join(kept, ["c1", "c2"], "left").withColumn("stays", F.col("best").isNull() | F.col("doc").eqNullSafe(F.col("best")))
+        told = cut(told.filter("NOT stays OR n > 1").select("doc_id", "k", "stays"))
+    asked = key_filter(told, "k")
+    k, own, f_id, f_k, f_stays, row = fresh(docs, "key", "own", "id", "told", "stays", "row")
+    marked = docs.withColumn(k, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    sure = marked.filter(~may_hold(F.col(k), asked)).select(columns(docs))
+    told = told.select(F.col("doc_id").alias(f_id), F.col("k").alias(f_k), F.col("stays").alias(f_stays))
+    open_ = marked.filter(may_hold(F.col(k), asked)).withColumn(own, F.col("doc_id").cast("long"))
+    # joined by the key alone, so that the ranks below need no other shuffle
+    same = (F.col(own) == F.col(f_id)) | (F.col(own).isNull() & F.col(f_id).isNull())
+    open_ = open_.join(told, (F.col(k) == F.col(f_k)) & same, "left").filter(F.coalesce(F.col(f_stays), F.lit(True)))
+    open_ = open_.withColumn(row, F.row_number().over(Window.partitionBy(k, own).orderBy(*orderable(docs))))
+    open_ = open_.filter(F.col(f_stays).isNull() | (F.col(row) == 1))
+    return sure.unionByName(open_.select(columns(docs)))
 
 
 ORACLE = f"""
