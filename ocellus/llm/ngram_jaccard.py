@@ -7,8 +7,10 @@ of documents whose sets have Jaccard similarity of at least a threshold:
 2. Sets are routed to *groups* by MinHash bands (three values a band), so that only sets that may be similar
    ever meet. Groups of one are dropped and groups with the same members are kept once; these decisions move
    16 bytes a row, no texts. The n-grams of the sets that are left are then made, of those documents alone.
-3. Similar sets are linked, in two rounds. In the first each set goes to the largest of its groups only; in the
-   second to those of its groups that hold sets which the first has not linked. Links make components.
+3. Similar sets are linked, in two rounds. In the first each set goes to the PICKS largest of its groups; what is linked
+   there becomes one node: the OR of its members' bitmaps and the range of their sizes, of the kind that trees are made
+   of. Groups that hold several nodes are then traversed as trees of these nodes, without any set. In the second round
+   sets go only to those of their groups where their node may hold a partner of another node. Links make components.
 4. Every pair of similar sets that any link connects lies in one component, so each set goes to its component
    once, and all pairs are found there.
 
@@ -44,6 +46,10 @@ ROWS = 3
 BLOCK_GRAMS = 4_000_000
 #: Documents with one and the same set that travel as one list; more are split.
 LIST_IDS = 4096
+#: Groups that a set goes to in the first round.
+PICKS = 2
+#: Bits of a node that stands for sets which are linked.
+NODE_BITS = 4096
 #: Bits of a signature; up to so many different shared tokens a bitmap is exact.
 MAX_BITS = 16_384
 LEAF, FAN = 16, 8
@@ -125,8 +131,8 @@ class SignatureTree:
     (bits in common) + min(excess) tokens. With exact bitmaps it is 0 and bits in common are the overlap.
     """
 
-    def __init__(self, bits: np.ndarray, sizes: np.ndarray, excess: np.ndarray, side: np.ndarray):
-        self.levels = [(bits, sizes, sizes, excess, side, side)]
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, excess: np.ndarray, side: np.ndarray, high: np.ndarray | None = None):
+        self.levels = [(bits, sizes, sizes if high is None else high, excess, side, side)]
         self.starts: list[np.ndarray] = []
         width = LEAF
         while len(self.levels[-1][1]) > FAN:
@@ -278,10 +284,7 @@ _GROUP = ["g1", "g2", "bi", "bj"]
 
 
 def _link(t: float):
-    """Each linked member of a group (u) with one that stands for all that it is linked to (v). Members of one label (c1, c2) are linked already.
-
-    whole: the group, or the block, met itself, and no other task of the same round names u by another v.
-    """
+    """Each linked member of a group (u) with one that stands for all that it is linked to (v). Members of one label (c1, c2) are linked already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped_batches(batches, _GROUP):
@@ -316,7 +319,67 @@ def _link(t: float):
                 names, size = np.unique(root, return_counts=True)
                 i = np.flatnonzero(np.isin(root, names[size > 1]))
                 j = root[i]
-                yield pa.RecordBatch.from_arrays([pa.array([bi == bj] * len(i)), *(pa.array(c) for c in (s1[i], s2[i], s1[j], s2[j]))], ["whole", "u1", "u2", "v1", "v2"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (s1[i], s2[i], s1[j], s2[j])], ["u1", "u2", "v1", "v2"])
+
+    return run
+
+
+def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bitmap of each set, its size, and how much larger that is than the bits."""
+    for batch in batches:
+        size, excess, bits = [], [], []
+        for x in batch.column("grams").to_pylist():
+            wide = np.zeros((len(x) // _GRAM_BYTES, 8), np.uint8)
+            wide[:, :_GRAM_BYTES] = np.frombuffer(x, np.uint8).reshape(-1, _GRAM_BYTES)
+            flag = np.zeros(NODE_BITS, bool)
+            flag[(wide.view(np.uint64).reshape(-1) % np.uint64(NODE_BITS)).astype(np.int64)] = True
+            size.append(len(wide))
+            excess.append(len(wide) - int(flag.sum()))
+            bits.append(np.packbits(flag).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("s1"), batch.column("s2"), pa.array(size, pa.int64()), pa.array(excess, pa.int64()), pa.array(bits, pa.binary())], ["s1", "s2", "size", "excess", "bits"])
+
+
+def _node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One node a label: the OR of the bitmaps and the ranges of its members, which come sorted by label."""
+    names = ["c1", "c2", "low", "high", "excess", "bits"]
+    at: list | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        c1, c2, size, excess = (batch.column(c).to_numpy() for c in ("c1", "c2", "size", "excess"))
+        bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+        first = np.flatnonzero(np.concatenate([[True], (c1[1:] != c1[:-1]) | (c2[1:] != c2[:-1])]))
+        own = [c1[first], c2[first], np.minimum.reduceat(size, first), np.maximum.reduceat(size, first), np.maximum.reduceat(excess, first), np.bitwise_or.reduceat(bits, first)]
+        if at is not None:  # the last label may go on
+            if at[0][0] == own[0][0] and at[1][0] == own[1][0]:
+                for k, f in ((2, np.minimum), (3, np.maximum), (4, np.maximum), (5, np.bitwise_or)):
+                    own[k][0] = f(own[k][0], at[k][0])
+            else:
+                own = [np.concatenate([a, b]) for a, b in zip(at, own)]
+        at = [x[-1:] for x in own]
+        if len(own[0]) > 1:
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[:-1]) for x in own[:5]), pa.array([b.tobytes() for b in own[5][:-1]], pa.binary())], names)
+    if at is not None:
+        yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in at[:5]), pa.array([b.tobytes() for b in at[5]], pa.binary())], names)
+
+
+def _promising(t: float):
+    """The nodes of each group (key) that may hold a set similar to one of another node there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped_batches(batches, ["key"]):
+            m = group.num_rows
+            if m < 2:
+                continue
+            low, high, excess = (group.column(c).to_numpy() for c in ("low", "high", "excess"))
+            bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint8).reshape(m, -1).view(np.uint64)
+            order = np.argsort(low, kind="stable")
+            tree = SignatureTree(bits[order], low[order], excess[order], np.full(m, -1), high[order])
+            alive = np.zeros(m, bool)
+            for p, q, _ in tree.pairs(t):
+                alive[order[p]] = alive[order[q]] = True
+            if alive.any():
+                yield pa.RecordBatch.from_arrays([pa.array(group.column(c).to_numpy()[alive]) for c in ("key", "c1", "c2")], ["key", "c1", "c2"])
 
     return run
 
@@ -402,24 +465,34 @@ def _components(keyed: DataFrame, signed: DataFrame, n: int, threshold: float, t
     link = _link(threshold)
 
     def linked(rows: DataFrame, places: DataFrame) -> DataFrame:
-        return _placed(rows, places, ["s1", "s2"], ["c1", "c2"]).mapInArrow(link, "whole boolean, u1 long, u2 long, v1 long, v2 long")
+        edges = _placed(rows, places, ["s1", "s2"], ["c1", "c2"]).mapInArrow(link, "u1 long, u2 long, v1 long, v2 long")
+        return edges.select(F.struct(F.col("u1").alias("s1"), F.col("u2").alias("s2")).alias("u"), F.struct(F.col("v1").alias("s1"), F.col("v2").alias("s2")).alias("v"))
 
     zero = F.lit(0).cast("long").alias("g2")
-    best = routes.groupBy("s1").agg(F.max(F.struct("m", "key", "w")).alias("g")).select("s1", F.col("g.key").alias("g1"), zero, F.col("g.w").alias("w"))
+    most = F.slice(F.sort_array(F.collect_list(F.struct("m", "key", "w")), asc=False), 1, PICKS)
+    best = routes.groupBy("s1").agg(most.alias("g")).select("s1", F.explode("g").alias("g")).select("s1", F.col("g.key").alias("g1"), zero, F.col("g.w").alias("w"))
     best = best.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("g1"))).filter("m > 1").drop("m")
     pairs = live.select("s1", "s2")
     first = tables.keep(linked(packed, pairs.join(best, "s1").select("s1", "s2", "g1", "g2", "w", F.col("s1").alias("c1"), F.col("s2").alias("c2"))))
-    # a set is in one group of the first round, so what it is linked to there is known without more ado
-    known = first.filter("whole").select(F.col("u1").alias("s1"), F.col("u2").alias("s2"), F.col("v1").alias("c1"), F.col("v2").alias("c2"))
-    labelled = pairs.join(known, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("c1", "s1").alias("c1"), F.coalesce("c2", "s2").alias("c2"))
+    known = _flat(connected_components(first, tables))
+    labelled = tables.keep(pairs.join(known, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("c1", "s1").alias("c1"), F.coalesce("c2", "s2").alias("c2")))
     rest = tables.keep(routes.join(labelled, "s1").select("s1", "s2", "c1", "c2", "key", "w"))
-    open_ = rest.groupBy("key").agg(F.min(F.struct("c1", "c2")).alias("low"), F.max(F.struct("c1", "c2")).alias("high")).filter("low <> high").select("key")
-    places = tables.keep(rest.join(open_, "key").select("s1", "s2", F.col("key").alias("g1"), zero, "w", "c1", "c2"))
+    seats = rest.groupBy("key", "c1", "c2").agg(F.count("*").alias("n")).withColumn("labels", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("labels > 1")
+    seats = tables.keep(seats.select("key", "c1", "c2"))
+    bits = packed.mapInArrow(_bits, "s1 long, s2 long, size long, excess long, bits binary").join(labelled, ["s1", "s2"])
+    bits = bits.join(seats.select("c1", "c2").distinct(), ["c1", "c2"]).repartition("c1", "c2").sortWithinPartitions("c1", "c2")
+    nodes = bits.select("c1", "c2", "size", "excess", "bits").mapInArrow(_node, "c1 long, c2 long, low long, high long, excess long, bits binary")
+    seated = seats.join(nodes, ["c1", "c2"]).select("key", "c1", "c2", "low", "high", "excess", "bits").repartition("key").sortWithinPartitions("key")
+    places = rest.join(seated.mapInArrow(_promising(threshold), "key long, c1 long, c2 long"), ["key", "c1", "c2"])
+    places = tables.keep(places.select("s1", "s2", F.col("key").alias("g1"), zero, "w", "c1", "c2"))
     again = key_filter(places.select("s1").distinct(), "s1")
-    edges = first.unionByName(linked(packed.filter(may_hold(F.col("s1"), again)), places))
-    edges = edges.select(F.struct(F.col("u1").alias("s1"), F.col("u2").alias("s2")).alias("u"), F.struct(F.col("v1").alias("s1"), F.col("v2").alias("s2")).alias("v"))
-    found = connected_components(edges, tables).select("node.s1", "node.s2", F.col("component.s1").alias("c1"), F.col("component.s2").alias("c2"))
-    return found, packed
+    second = linked(packed.filter(may_hold(F.col("s1"), again)), places)
+    tree = known.select(F.struct("s1", "s2").alias("u"), F.struct(F.col("c1").alias("s1"), F.col("c2").alias("s2")).alias("v"))
+    return _flat(connected_components(second.unionByName(tree), tables)), packed
+
+
+def _flat(components: DataFrame) -> DataFrame:
+    return components.select("node.s1", "node.s2", F.col("component.s1").alias("c1"), F.col("component.s2").alias("c2"))
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
