@@ -6,7 +6,8 @@ of documents whose sets have Jaccard similarity of at least a threshold:
 1. Documents with one and the same set (128 bits) are collapsed; the set goes on once.
 2. Sets are routed to *groups* by MinHash bands (three values a band), so that only sets that may be similar
    ever meet. Groups of one are dropped and groups with the same members are kept once; these decisions move
-   16 bytes a row, no texts. The n-grams of the sets that are left are then made, of those documents alone.
+   16 bytes a row, no texts. What a group holds by chance is told by a first traversal, over bitmaps of SET_BITS.
+   The n-grams of the sets that are left are then made, of those documents alone.
 3. Similar sets are linked, in two rounds. In the first each set goes to the PICKS largest of its groups; what is linked
    there becomes one node: the OR of its members' bitmaps and the range of their sizes, of the kind that trees are made
    of. Groups that hold several nodes are then traversed as trees of these nodes, without any set. In the second round
@@ -48,6 +49,10 @@ BLOCK_GRAMS = 4_000_000
 LIST_IDS = 4096
 #: Groups that a set goes to in the first round.
 PICKS = 2
+#: Bits of a set in the first traversal of its groups.
+SET_BITS = 1024
+#: Nodes up to which a group is traversed before its sets are there; larger ones are not thinned out.
+GROUP_NODES = 50_000
 #: Bits of a node that stands for sets which are linked.
 NODE_BITS = 4096
 #: Bits of a signature; up to so many different shared tokens a bitmap is exact.
@@ -97,8 +102,11 @@ def _sign(n: int, bands: int, rows: int):
                 at = pa.array(row + u)
                 flat = pa.array(keys.reshape(-1).view(np.int64))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands, dtype=np.int32)), flat)
-                size = np.diff(np.append(first, len(g))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("k").take(at), pa.array(s1), pa.array(s2), pa.array(size), lists], ["doc_id", "k", "s1", "s2", "size", "bands"])
+                size = np.diff(np.append(first, len(g)))
+                flag = np.zeros((len(u), SET_BITS), bool)
+                flag[np.repeat(np.arange(len(u)), size), (g % np.uint64(SET_BITS)).astype(np.int64)] = True
+                bits = pa.FixedSizeBinaryArray.from_buffers(pa.binary(SET_BITS // 8), len(u), [None, pa.py_buffer(np.packbits(flag, axis=1).tobytes())]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("k").take(at), pa.array(s1), pa.array(s2), pa.array(size.astype(np.int32)), bits, lists], ["doc_id", "k", "s1", "s2", "size", "bits", "bands"])
 
     return run
 
@@ -363,23 +371,26 @@ def _node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in at[:5]), pa.array([b.tobytes() for b in at[5]], pa.binary())], names)
 
 
-def _promising(t: float):
-    """The nodes of each group (key) that may hold a set similar to one of another node there."""
+def _promising(t: float, names: list[str]):
+    """The nodes of each group (key) that may hold a set similar to one of another node there. names: the columns that name a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped_batches(batches, ["key"]):
             m = group.num_rows
             if m < 2:
                 continue
-            low, high, excess = (group.column(c).to_numpy() for c in ("low", "high", "excess"))
+            low, high = (group.column(c).to_numpy().astype(np.int64) for c in ("low", "high"))
             bits = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint8).reshape(m, -1).view(np.uint64)
+            excess = group.column("excess").to_numpy() if "excess" in group.column_names else low - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
             order = np.argsort(low, kind="stable")
             tree = SignatureTree(bits[order], low[order], excess[order], np.full(m, -1), high[order])
             alive = np.zeros(m, bool)
             for p, q, _ in tree.pairs(t):
                 alive[order[p]] = alive[order[q]] = True
+                if alive.all():
+                    break
             if alive.any():
-                yield pa.RecordBatch.from_arrays([pa.array(group.column(c).to_numpy()[alive]) for c in ("key", "c1", "c2")], ["key", "c1", "c2"])
+                yield pa.RecordBatch.from_arrays([pa.array(group.column(c).to_numpy()[alive]) for c in ("key", *names)], ["key", *names])
 
     return run
 
@@ -425,9 +436,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _signed(keyed: DataFrame, n: int, bands: int) -> DataFrame:
-    """(doc_id, k, s1, s2, size, bands) of the documents with words."""
+    """(doc_id, k, s1, s2, size, bits, bands) of the documents with words."""
     prepare(keyed.sparkSession)
-    return keyed.mapInArrow(_sign(n, bands, ROWS), "doc_id long, k long, s1 long, s2 long, size int, bands array<long>")
+    return keyed.mapInArrow(_sign(n, bands, ROWS), "doc_id long, k long, s1 long, s2 long, size int, bits binary, bands array<long>")
 
 
 def _routes(signed: DataFrame, tables: Scratch) -> DataFrame:
@@ -459,7 +470,13 @@ def _placed(packed: DataFrame, places: DataFrame, on: list[str], carried: list[s
 def _components(keyed: DataFrame, signed: DataFrame, n: int, threshold: float, tables: Scratch) -> tuple[DataFrame, DataFrame]:
     """(s1, s2, c1, c2): the component of each set that is similar to another; and (s1, s2, grams) of these sets, and some more."""
     routes = _routes(signed, tables)
-    live = tables.keep(signed.join(routes.select("s1").distinct(), "s1").groupBy("s1", "s2").agg(F.min("k").alias("k")))
+    bits = signed.select("s1", "s2", "size", "bits").join(routes.select("s1").distinct(), "s1")
+    bits = bits.groupBy("s1", "s2").agg(F.first("size").alias("low"), F.first("bits").alias("bits")).withColumn("high", F.col("low"))
+    large = F.col("m") > GROUP_NODES
+    met = routes.filter(~large).select("s1", "key").join(bits, "s1").repartition("key").sortWithinPartitions("key")
+    met = met.select("key", "s1", "low", "high", "bits").mapInArrow(_promising(threshold, ["s1"]), "key long, s1 long")
+    routes = tables.keep(routes.join(met.distinct(), ["key", "s1"]).unionByName(routes.filter(large)))
+    live = tables.keep(signed.select("s1", "s2", "k").join(routes.select("s1").distinct(), "s1").groupBy("s1", "s2").agg(F.min("k").alias("k")))
     wanted = key_filter(live, "k")
     packed = tables.keep(keyed.select("k", "text").mapInArrow(_grams(n, wanted), "s1 long, s2 long, grams binary"))
     link = _link(threshold)
@@ -478,12 +495,14 @@ def _components(keyed: DataFrame, signed: DataFrame, n: int, threshold: float, t
     labelled = tables.keep(pairs.join(known, ["s1", "s2"], "left").select("s1", "s2", F.coalesce("c1", "s1").alias("c1"), F.coalesce("c2", "s2").alias("c2")))
     rest = tables.keep(routes.join(labelled, "s1").select("s1", "s2", "c1", "c2", "key", "w"))
     seats = rest.groupBy("key", "c1", "c2").agg(F.count("*").alias("n")).withColumn("labels", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("labels > 1")
-    seats = tables.keep(seats.select("key", "c1", "c2"))
+    seats = tables.keep(seats.select("key", "c1", "c2", "labels"))
+    few = F.col("labels") <= GROUP_NODES
     bits = packed.mapInArrow(_bits, "s1 long, s2 long, size long, excess long, bits binary").join(labelled, ["s1", "s2"])
     bits = bits.join(seats.select("c1", "c2").distinct(), ["c1", "c2"]).repartition("c1", "c2").sortWithinPartitions("c1", "c2")
     nodes = bits.select("c1", "c2", "size", "excess", "bits").mapInArrow(_node, "c1 long, c2 long, low long, high long, excess long, bits binary")
-    seated = seats.join(nodes, ["c1", "c2"]).select("key", "c1", "c2", "low", "high", "excess", "bits").repartition("key").sortWithinPartitions("key")
-    places = rest.join(seated.mapInArrow(_promising(threshold), "key long, c1 long, c2 long"), ["key", "c1", "c2"])
+    seated = seats.filter(few).join(nodes, ["c1", "c2"]).select("key", "c1", "c2", "low", "high", "excess", "bits").repartition("key").sortWithinPartitions("key")
+    seated = seated.mapInArrow(_promising(threshold, ["c1", "c2"]), "key long, c1 long, c2 long").unionByName(seats.filter(~few).select("key", "c1", "c2"))
+    places = rest.join(seated, ["key", "c1", "c2"])
     places = tables.keep(places.select("s1", "s2", F.col("key").alias("g1"), zero, "w", "c1", "c2"))
     again = key_filter(places.select("s1").distinct(), "s1")
     second = linked(packed.filter(may_hold(F.col("s1"), again)), places)
