@@ -22,6 +22,10 @@ WORD = np.zeros(256, dtype=bool)
 WORD[ord("0") : ord("9") + 1] = WORD[ord("a") : ord("z") + 1] = WORD[ord("A") : ord("Z") + 1] = True
 WORD[128:] = True
 
+#: Bytes of tokens, which stand between white space.
+INK = np.ones(256, dtype=bool)
+INK[[9, 10, 12, 13, 32]] = False
+
 _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -189,3 +193,13 @@ def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=total[1:])
     return total[offsets[1:]] - total[offsets[:-1]]
+
+
+def token_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Tokens of each document: its runs of bytes that are no white space."""
+    flag = INK[raw]
+    start = flag.copy()
+    start[1:] &= ~flag[:-1]
+    first = offsets[:-1][np.diff(offsets) > 0]
+    start[first] = flag[first]
+    return segment_sum(start, offsets)

@@ -6,6 +6,9 @@ the words in front. Votes of all candidates are counted by (kind, votes), and ex
 estimates each labeler's reliabilities and how common true spans are, kind by kind. The posteriors are the soft labels
 of a logistic classifier over the span's shape, its context and the votes; it is fitted on a bounded sample of candidates
 (SAMPLE: of each kind and votes, as many as fit, those with the smallest hashes) and decides every span.
+
+A span's context is the words in front of it: the last CONTEXT_WORDS of the CONTEXT_CHARS characters before. Nothing
+else of a text is out of sight: patterns run over whole texts, in time that is linear in their length.
 """
 
 from __future__ import annotations
@@ -22,28 +25,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernels as K
-from .common import cut, fresh, prepare
+from .common import columns, cut, fresh, key_filter, may_hold, prepare
 
 KINDS = ("EMAIL", "IBAN", "IP", "PHONE", "SSN", "CARD")
 LABELERS = ("regex", "content", "gazetteer", "context")
 SAMPLE = 20_000
 BITS = 12
+CONTEXT_CHARS, CONTEXT_WORDS = 60, 4
 ROUNDS = 60
 
+#: What an address may hold before its @. It begins where such a run does, so a run is read once, however long.
+_LOCAL = r"[^\s@<>()\[\],;:\"']"
 _CANDIDATE = re.compile(
-    r"(?P<EMAIL>[^\s@<>()\[\],;:\"']+@[^\s@<>()\[\],;:\"'!?*#%&$]+)"
+    rf"(?P<EMAIL>(?<!{_LOCAL}){_LOCAL}++@[^\s@<>()\[\],;:\"'!?*#%&$]++)"
     r"|(?P<IBAN>\b[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?\b)"
     r"|(?P<IP>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d))"
-    r"|(?P<PHONE>(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|(?<!\d)\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\d))"
+    r"|(?P<PHONE>(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|(?<!\d)\d{3})[ .-]?\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{1,4}){2,6}(?!\d)"
+    r"|(?<![\d+.])0\d(?:[ .]\d{2}){4}(?!\d)|(?<![\d+.])0\d{2,4}[ /-]\d{5,8}(?!\d))"
     r"|(?P<SSN>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<CARD>(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\7\d{4}\7\d{1,7})(?!\d))",
+    r"|(?P<CARD>(?<!\d)(?:\d{13,19}|\d{4}([ -])(?:\d{4}\7\d{4}\7\d{1,7}|\d{6}\7\d{5}))(?!\d))",
     re.ASCII,
 )
 _STRICT = {
     "EMAIL": re.compile(r"[\w.+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", re.ASCII),
     "IBAN": re.compile(r"[A-Z]{2}\d{2}[0-9A-Z ]{11,}", re.ASCII),
     "IP": re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.|$)){4}", re.ASCII),
-    "PHONE": re.compile(r"\+\d[\d ().-]+|\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}", re.ASCII),
+    "PHONE": re.compile(r"\+\d[\d ().-]+|\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}|0\d(?:[ .]\d{2}){4}|0\d{2,4}[ /-]\d{5,8}", re.ASCII),
     "SSN": re.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}", re.ASCII),
     "CARD": re.compile(r"(?:4\d{12}(?:\d{3})?(?:\d{3})?|5[1-5]\d{14}|2[2-7]\d{14}|3[47]\d{13}|6(?:011|5\d\d)\d{12})", re.ASCII),
 }
@@ -99,7 +106,7 @@ def votes(kind: str, span: str, before: list[str]) -> tuple[int, ...]:
         content = 1 if all(int(p) <= 255 for p in parts) and not any(len(p) > 1 and p[0] == "0" for p in parts) else -1
         gazetteer = -1 if span in ("0.0.0.0", "127.0.0.1", "255.255.255.255", "1.2.3.4") else 1 if int(parts[0]) > 0 else 0
     elif kind == "PHONE":
-        content = 1 if 10 <= len(digits) <= 15 else -1
+        content = 1 if (8 if span[0] == "0" else 10) <= len(digits) <= 15 else -1
         gazetteer = 0 if not span.startswith("+") else 1 if digits.startswith(_COUNTRY) else -1
     elif kind == "SSN":
         content, gazetteer = (1 if digits not in ("123456789", "078051120") else -1), 0
@@ -137,7 +144,7 @@ def span_features(kind: str, span: str, before: list[str], v: tuple[int, ...]) -
 def inspect(text: str) -> Iterator[tuple[int, int, str, int, list[int]]]:
     """(start, end, kind, votes as a number, features) of each candidate of a text."""
     for start, end, kind, span in candidates(text):
-        before = [w.lower() for w in _BEFORE.findall(text[max(0, start - 60) : start])[-4:]]
+        before = [w.lower() for w in _BEFORE.findall(text[max(0, start - CONTEXT_CHARS) : start])[-CONTEXT_WORDS:]]
         v = votes(kind, span, before)
         yield start, end, kind, pattern_of(v), span_features(kind, span, before, v)
 
@@ -189,8 +196,13 @@ def fit(features: list[list[int]], soft: np.ndarray, weight: np.ndarray | None =
     return w
 
 
-def probability(w: np.ndarray, features: list[int]) -> float:
-    return float(1 / (1 + np.exp(-np.clip(w[features].sum() + w[-1], -40, 40))))
+def probabilities(w: np.ndarray, features: pa.Array) -> np.ndarray:
+    """P(true span) of each list of features; no list is empty."""
+    if not len(features):
+        return np.zeros(0)
+    count = features.value_lengths().to_numpy()
+    z = np.add.reduceat(w[features.flatten().to_numpy()], np.cumsum(count) - count) + w[-1]
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 def _documents(batch: pa.RecordBatch) -> Iterator[tuple[int, str]]:
@@ -256,52 +268,61 @@ def find_pii(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     @F.arrow_udf("double")
     def judge(features: pa.Array) -> pa.Array:
-        return pa.array([probability(weights.value, f) for f in features.to_pylist()], pa.float64())
+        return pa.array(probabilities(weights.value, features))
 
     return spans.withColumn("probability", judge("features")).filter("probability >= 0.5").select("doc_id", "start", "end", "kind", "probability")
 
 
-def masked(text: Column, weights) -> Column:
-    """The text with every span of personal data replaced by its kind in brackets. weights: a broadcast of train()."""
+def masked(text: Column, asked: Column, weights) -> Column:
+    """The text with every span of personal data replaced by its kind in brackets, where asked. weights: a broadcast of train()."""
 
     @F.arrow_udf("string")
-    def run(column: pa.Array) -> pa.Array:
-        batch = pa.RecordBatch.from_arrays([column], ["text"])
-        changed: dict[int, str] = {}
+    def run(column: pa.Array, ask: pa.Array) -> pa.Array:
+        mine = np.flatnonzero(ask.to_numpy(zero_copy_only=False).astype(bool))
+        batch = pa.RecordBatch.from_arrays([column.take(pa.array(mine))], ["text"])
+        texts: dict[int, str] = {}
+        found: list[tuple[int, int, int, str, int, list[int]]] = []
         for k, whole in _documents(batch):
-            parts, last = [], 0
-            for start, end, kind, _, features in inspect(whole):
-                if probability(weights.value, features) >= 0.5:
-                    parts += [whole[last:start], f"[{kind}]"]
-                    last = end
-            if parts:
-                changed[k] = "".join(parts) + whole[last:]
-        if not changed:
+            own = [(k, *x) for x in inspect(whole)]
+            if own:
+                texts[k] = whole
+                found += own
+        if not found:
             return column
+        true = probabilities(weights.value, pa.array([x[-1] for x in found], pa.list_(pa.int32()))) >= 0.5
+        parts: dict[int, list[str]] = {}
+        last: dict[int, int] = {}
+        for (k, start, end, kind, _, _), yes in zip(found, true):
+            if yes:
+                parts.setdefault(k, []).extend((texts[k][last.get(k, 0) : start], f"[{kind}]"))
+                last[k] = end
         out = column.to_pylist()
-        for k, t in changed.items():
-            out[k] = t
+        for k, p in parts.items():
+            out[mine[k]] = "".join(p) + texts[k][last[k] :]
         return pa.array(out, pa.string())
 
-    return run(text)
+    return run(text, asked)
 
 
 def mask_pii(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """docs with the same rows and columns; personal data in text is masked, and n_chars, if there, follows the new text.
 
-    Cases as in find_pii(): rows without personal data are returned as they are, nulls too.
+    Cases as in find_pii(): rows without personal data are returned as they are, nulls too. Only doc_ids (and rows without
+    one) that have a candidate are inspected again; a filter of their hashes tells which.
     """
     spans = cut(propose(docs))
     weights = spans.sparkSession.sparkContext.broadcast(train(spans, sample))
-    (new,) = fresh(docs, "masked")
-    out = docs.withColumn(new, masked(F.col("text").cast("string"), weights))
+    name = lambda c: F.xxhash64(F.coalesce(c.cast("long"), F.lit(-1)))
+    some = key_filter(spans.select(name(F.col("doc_id")).alias("k")).distinct(), "k")
+    new, ask = fresh(docs, "masked", "ask")
+    out = docs.withColumn(ask, may_hold(name(F.col("doc_id")), some)).withColumn(new, masked(F.col("text").cast("string"), F.col(ask), weights))
     changed = ~F.col(new).eqNullSafe(F.col("text"))
-    columns = []
-    for c in docs.columns:
+    cells = []
+    for c, own in zip(docs.columns, columns(docs)):
         if c == "text":
-            columns.append(F.col(new).alias("text"))
+            cells.append(F.col(new).alias("text"))
         elif c == "n_chars":
-            columns.append(F.when(changed, F.length(new)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c))
+            cells.append(F.when(changed, F.length(new)).otherwise(own).cast(docs.schema[c].dataType).alias(c))
         else:
-            columns.append(F.col(f"`{c}`"))
-    return out.select(columns)
+            cells.append(own)
+    return out.select(cells)

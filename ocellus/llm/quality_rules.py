@@ -2,14 +2,14 @@
 
 Four signals a document, in thousandths and smoothed so that short texts stay near 0: signs, capitals, words
 repeated at once, digits. Their distribution in each (lang, source) is kept as a mergeable quantile sketch:
-counts in buckets that keep 6 leading bits, so that two sketches merge by adding counts and a quantile is known
-to 1 part in 32. A group of fewer than MIN_DOCS documents uses the merged sketch of its language, and that
-failing the one of the whole corpus. A signal's limit is
-
-    median + max(SPREAD * (median - lower quartile), GAP)
-
-which replaces a fixed cutoff and is not moved by junk as long as that is less than half of the group.
-Documents above a limit are rejected, after a join with the limits on (lang, source).
+counts in buckets of equal ratio (1 part in 32), so that two sketches merge by adding counts.
+
+A signal's limit is read off the quantile function of its (lang, source). Going up from the median, the body of the
+documents ends where the function jumps: where less than 1/TAIL of the documents lie up to RATIO times further on. The
+limit is the far end of that jump, so what breaks it stands apart from nearly all that its source holds, and is junk
+as long as that is less than half. Small groups lean on larger ones: to each sketch the distributions of its language and
+of the corpus are added, as PRIOR documents each. Documents above a limit are rejected, after a join with the limits on
+(lang, source). No limit and no distance is fixed; the parameters are shares and ratios.
 """
 
 from __future__ import annotations
@@ -18,16 +18,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import kernels as K
-from .common import cut, fresh, prepare, small
-
-MIN_DOCS = 200
-SPREAD = 12
-#: The narrowest distance of a limit from the median, in thousandths.
-GAP = {"signs": 40, "capitals": 80, "repeats": 80, "digits": 300}
-RULES = tuple(GAP)
+from .common import columns, cut, fresh, prepare, small
+
+#: The body of a distribution ends where less than one in TAIL documents lie within RATIO times the value.
+TAIL = 200
+RATIO = 3.0
+#: Documents that the language and the corpus each count as in every sketch.
+PRIOR = 200
+#: Buckets of a sketch: STEPS to a factor of e, over values from UNIT up.
+STEPS, UNIT = 32, 5
+WIDTH = int(np.log(RATIO) * STEPS)
+BUCKETS = int(np.log((1000 + UNIT) / UNIT) * STEPS) + 1
+#: Weights are integers, so that sums do not depend on their order.
+_SCALE = 10_000
+RULES = ("signs", "capitals", "repeats", "digits")
 #: Groups up to which the limits are broadcast; beyond that they are joined by shuffling.
 MAX_BROADCAST = 50_000
 #: Added to the denominators: characters, letters, words, characters.
@@ -89,45 +95,54 @@ def signals(text: Column) -> Column:
 
 
 def bucket(value: Column) -> Column:
-    """The sketch bucket of a value of 0 to 1000: its 6 leading bits."""
-    out = value
-    for low, shift in ((64, 1), (128, 2), (256, 3), (512, 4)):
-        out = F.when(value >= low, value - F.pmod(value, F.lit(1 << shift))).otherwise(out)
-    return out
+    """The sketch bucket of a value of 0 to 1000."""
+    return F.floor(F.log((value + UNIT) / F.lit(float(UNIT))) * STEPS).cast("int")
 
 
 def sketches(docs: DataFrame, s: str) -> DataFrame:
-    """(lang, source, rule, bucket, n): the sketches of every (lang, source) over documents with words; s: the signals."""
-    stacked = docs.filter(F.col(f"{s}.words") > 0).select("lang", "source", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), bucket(F.col(f"{s}.{r}")).alias("bucket")) for r in RULES))).alias("e"))
-    return stacked.groupBy("lang", "source", "e.rule", "e.bucket").agg(F.count("*").alias("n"))
-
-
-def limits(sketch: DataFrame, spread: int = SPREAD, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(lang, source, one limit a rule), from sketches that are merged up where a group is too small."""
-    null = F.lit(None).cast("string")
-    levels = F.array(
-        F.struct(F.lit(2).alias("level"), F.col("lang").alias("l"), F.col("source").alias("s")),
-        F.struct(F.lit(1).alias("level"), F.col("lang").alias("l"), null.alias("s")),
-        F.struct(F.lit(0).alias("level"), null.alias("l"), null.alias("s")),
-    )
-    merged = sketch.withColumn("at", F.explode(levels)).groupBy("at.level", "at.l", "at.s", "rule", "bucket").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("level", "l", "s", "rule")
-    ranked = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
-    quantiles = ranked.groupBy("level", "l", "s", "rule").agg(
-        F.max("total").alias("total"),
-        F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bucket"))).alias("q1"),
-        F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("bucket"))).alias("q2"),
-    )
-    gap = F.create_map(*(F.lit(x) for r in RULES for x in (r, GAP[r])))
-    limit = F.col("q2") + F.greatest(spread * (F.col("q2") - F.col("q1")), gap[F.col("rule")])
-    wide = quantiles.withColumn("limit", limit).groupBy("level", "l", "s").agg(F.max("total").alias("total"), *(F.max(F.when(F.col("rule") == r, F.col("limit"))).alias(r) for r in RULES))
-
-    def at(level: int) -> DataFrame:
-        return wide.filter(F.col("level") == level).select(F.col("l").alias(f"l{level}"), F.col("s").alias(f"s{level}"), F.struct("total", *RULES).alias(f"v{level}"))
-
-    joined = at(2).join(at(1), F.col("l2").eqNullSafe(F.col("l1"))).crossJoin(at(0))
-    use = F.when(F.col("v2.total") >= min_docs, F.col("v2")).when(F.col("v1.total") >= min_docs, F.col("v1")).otherwise(F.col("v0"))
-    return joined.select(F.col("l2").alias("lang"), F.col("s2").alias("source"), use.alias("v")).select("lang", "source", *(F.col(f"v.{r}").alias(r) for r in RULES))
+    """(lang, source, cell, n): the sketches of every (lang, source) over documents with words; a cell is a bucket of a rule. s: the signals."""
+    cells = F.array(*(F.lit(k * BUCKETS) + bucket(F.col(f"{s}.{r}")) for k, r in enumerate(RULES)))
+    stacked = docs.select("lang", "source", F.explode(F.when(F.col(f"{s}.words") > 0, cells)).alias("cell"))
+    return stacked.groupBy("lang", "source", "cell").agg(F.count("*").alias("n"))
+
+
+def body_ends(weight: np.ndarray, occupied: np.ndarray, width: int, tail: int) -> np.ndarray:
+    """The limits, as buckets, of sketches (groups, rules, buckets). occupied (rules, buckets): where a body may end."""
+    upto = np.cumsum(weight, axis=2)
+    total = upto[:, :, -1:]
+    far = upto[:, :, np.minimum(np.arange(weight.shape[2]) + width, weight.shape[2] - 1)]
+    return (occupied[None] & (2 * upto >= total) & ((far - upto) * tail < total)).argmax(axis=2) + width
+
+
+def limits(sketch: DataFrame, prior: int = PRIOR, tail: int = TAIL, width: int = WIDTH) -> DataFrame:
+    """(lang, source, the highest bucket that passes, a column a rule). sketch: small, and computed already.
+
+    The driver reads the merged sketches of the languages; those of the sources stay with the executors.
+    """
+    wide = len(RULES) * BUCKETS
+    by_lang: dict[str | None, np.ndarray] = {}
+    for r in sketch.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toLocalIterator():
+        by_lang.setdefault(r["lang"], np.zeros(wide, np.int64))[r["cell"]] = r["n"]
+    shape = (len(RULES), BUCKETS)
+    share = lambda c: prior * _SCALE * c // max(1, int(c[:BUCKETS].sum()))  # noqa: E731  each document counts once in every rule
+    corpus = sum(by_lang.values(), np.zeros(wide, np.int64))
+    shared = sketch.sparkSession.sparkContext.broadcast((corpus.reshape(shape) > 0, {k: share(c) + share(corpus) for k, c in by_lang.items()}))
+
+    @F.arrow_udf("struct<" + ",".join(f"{r}:int" for r in RULES) + ">")
+    def run(lang: pa.Array, cells: pa.Array) -> pa.Array:
+        occupied, priors = shared.value
+        out = []
+        for a in range(0, len(lang), 256):
+            rows, own = lang[a : a + 256], cells[a : a + 256]
+            weight = np.stack([priors[x] for x in rows.to_pylist()])
+            flat = own.flatten()
+            np.add.at(weight, (np.repeat(np.arange(len(rows)), own.value_lengths().to_numpy()), flat.field("cell").to_numpy()), _SCALE * flat.field("n").to_numpy())
+            out.append(body_ends(weight.reshape(-1, *shape), occupied, width, tail))
+        all_ = np.concatenate(out).astype(np.int32) if out else np.zeros((0, len(RULES)), np.int32)
+        return pa.StructArray.from_arrays([pa.array(c) for c in all_.T], list(RULES))
+
+    grouped = sketch.groupBy("lang", "source").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
+    return grouped.select("lang", "source", run("lang", "cells").alias("v")).select("lang", "source", *(F.col(f"v.{r}").alias(r) for r in RULES))
 
 
 def judged(docs: DataFrame, names: list[str]) -> DataFrame:
@@ -135,11 +150,11 @@ def judged(docs: DataFrame, names: list[str]) -> DataFrame:
     prepare(docs.sparkSession)
     s, v, failed = names
     signed = docs.withColumn(s, signals(F.col("text")))
-    cut_ = cut(limits(sketches(signed.select("lang", "source", s), s)))
+    cut_ = cut(limits(cut(sketches(signed.select("lang", "source", s), s))))
     lang, source = fresh(signed, "limit_lang", "limit_source")
     cut_ = small(cut_.select(F.col("lang").alias(lang), F.col("source").alias(source), F.struct(*RULES).alias(v)), MAX_BROADCAST)
-    joined = signed.join(cut_, signed["lang"].eqNullSafe(F.col(lang)) & signed["source"].eqNullSafe(F.col(source)), "left")
-    broken = F.when(F.col(f"{s}.words") == 0, F.array(F.lit("empty"))).otherwise(F.filter(F.array(*(F.when(F.col(f"{s}.{r}") > F.col(f"{v}.{r}"), F.lit(r)) for r in RULES)), lambda x: x.isNotNull()))
+    joined = signed.join(cut_, F.col("lang").eqNullSafe(F.col(lang)) & F.col("source").eqNullSafe(F.col(source)), "left")
+    broken = F.when(F.col(f"{s}.words") == 0, F.array(F.lit("empty"))).otherwise(F.filter(F.array(*(F.when(bucket(F.col(f"{s}.{r}")) > F.col(f"{v}.{r}"), F.lit(r)) for r in RULES)), lambda x: x.isNotNull()))
     return joined.withColumn(failed, broken).drop(lang, source)
 
 
@@ -148,7 +163,8 @@ def quality_decisions(docs: DataFrame) -> DataFrame:
 
     Uses doc_id, text, lang and source; other columns are ignored. Defined cases: a null, empty or wordless text
     breaks the rule "empty", and does not enter a sketch; null lang or source are groups of their own; repeated rows
-    are judged each, ties with a limit pass; an empty table gives no rows. `broken` names the rules, joined by commas.
+    are judged each, ties with a limit pass; an empty table gives no rows; texts are read whole, at any length. `broken`
+    names the rules, joined by commas.
     """
     s, v, failed = names = fresh(docs, "signals", "limits", "broken")
     out = judged(docs.select("doc_id", "text", "lang", "source"), names)
@@ -158,11 +174,11 @@ def quality_decisions(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that break no rule, with all their columns; cases as in quality_decisions()."""
     names = fresh(docs, "signals", "limits", "broken")
-    return judged(docs, names).filter(F.size(names[2]) == 0).select(docs.columns)
+    return judged(docs, names).filter(F.size(names[2]) == 0).select(columns(docs))
 
 
 def _sql_bucket(x: str) -> str:
-    return f"CASE WHEN {x} >= 512 THEN {x} - {x} % 16 WHEN {x} >= 256 THEN {x} - {x} % 8 WHEN {x} >= 128 THEN {x} - {x} % 4 WHEN {x} >= 64 THEN {x} - {x} % 2 ELSE {x} END"
+    return f"floor(ln(({x} + {UNIT}) / {float(UNIT)}) * {STEPS})::INTEGER"
 
 
 def signals_sql(source: str) -> str:
@@ -178,28 +194,28 @@ def signals_sql(source: str) -> str:
 
 def decisions_ctes(source: str) -> str:
     """SQL common table expressions that end in `judged`: the table with its signals and `broken`."""
-    gaps = ", ".join(f"('{r}', {g})" for r, g in GAP.items())
     stacked = " UNION ALL ".join(f"SELECT lang, source, '{r}' AS rule, {_sql_bucket(r)} AS b FROM f WHERE words > 0" for r in RULES)
-    wide = ", ".join(f"max(lim) FILTER (rule = '{r}') AS {r}" for r in RULES)
-    pick = ", ".join(f"CASE WHEN v2.total >= {MIN_DOCS} THEN v2.{r} WHEN v1.total >= {MIN_DOCS} THEN v1.{r} ELSE v0.{r} END AS l_{r}" for r in RULES)
-    names = ", ".join(f"CASE WHEN words > 0 AND {r} > l_{r} THEN '{r}' END" for r in RULES)
+    wide = ", ".join(f"max(lim) FILTER (rule = '{r}') AS l_{r}" for r in RULES)
+    names = ", ".join(f"CASE WHEN words > 0 AND {_sql_bucket(r)} > l_{r} THEN '{r}' END" for r in RULES)
+    each = "PARTITION BY lang, source, rule"
     return f"""
 f AS ({signals_sql(source)}),
 stacked AS ({stacked}),
-levels AS (
-  SELECT 2 AS level, lang AS l, source AS s, rule, b FROM stacked UNION ALL
-  SELECT 1, lang, NULL, rule, b FROM stacked UNION ALL SELECT 0, NULL, NULL, rule, b FROM stacked
-), sketch AS (SELECT level, l, s, rule, b, count(*) AS n FROM levels GROUP BY ALL),
-ranked AS (SELECT *, sum(n) OVER (PARTITION BY level, l, s, rule ORDER BY b) AS upto, sum(n) OVER (PARTITION BY level, l, s, rule) AS total FROM sketch),
-q AS (
-  SELECT level, l, s, rule, max(total) AS total, min(b) FILTER (upto * 4 >= total) AS q1, min(b) FILTER (upto * 2 >= total) AS q2
-  FROM ranked GROUP BY ALL
-), lim AS (SELECT q.*, q2 + greatest({SPREAD} * (q2 - q1), gap) AS lim FROM q JOIN (VALUES {gaps}) AS g(rule, gap) USING (rule)),
-wide AS (SELECT level, l, s, max(total) AS total, {wide} FROM lim GROUP BY ALL),
-picked AS (
-  SELECT v2.l AS pl, v2.s AS ps, {pick} FROM (FROM wide WHERE level = 2) v2
-  JOIN (FROM wide WHERE level = 1) v1 ON v1.l IS NOT DISTINCT FROM v2.l CROSS JOIN (FROM wide WHERE level = 0) v0
-), judged AS (
+g AS (SELECT lang, source, rule, b, count(*) AS n FROM stacked GROUP BY ALL),
+ln AS (SELECT lang, rule, b, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang, rule) AS t FROM g GROUP BY lang, rule, b),
+cp AS (SELECT rule, b, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY rule) AS t FROM g GROUP BY rule, b),
+m AS (
+  SELECT gr.lang, gr.source, cp.rule, cp.b, {_SCALE} * coalesce(g.n, 0) + coalesce({PRIOR * _SCALE} * ln.n // ln.t, 0) + {PRIOR * _SCALE} * cp.n // cp.t AS w
+  FROM (SELECT DISTINCT lang, source FROM g) gr CROSS JOIN cp
+  LEFT JOIN ln ON ln.lang IS NOT DISTINCT FROM gr.lang AND ln.rule = cp.rule AND ln.b = cp.b
+  LEFT JOIN g ON g.lang IS NOT DISTINCT FROM gr.lang AND g.source IS NOT DISTINCT FROM gr.source AND g.rule = cp.rule AND g.b = cp.b
+), r AS (
+  SELECT *, sum(w) OVER ({each} ORDER BY b) AS upto, sum(w) OVER ({each}) AS total,
+    coalesce(sum(w) OVER ({each} ORDER BY b RANGE BETWEEN 1 FOLLOWING AND {WIDTH} FOLLOWING), 0) AS beyond
+  FROM m
+), lim AS (SELECT lang, source, rule, min(b) + {WIDTH} AS lim FROM r WHERE 2 * upto >= total AND {TAIL} * beyond < total GROUP BY ALL),
+picked AS (SELECT lang AS pl, source AS ps, {wide} FROM lim GROUP BY ALL),
+judged AS (
   SELECT f.*, CASE WHEN words = 0 THEN 'empty' ELSE concat_ws(',', {names}) END AS broken
   FROM f LEFT JOIN picked ON pl IS NOT DISTINCT FROM lang AND ps IS NOT DISTINCT FROM source
 )"""

@@ -7,29 +7,38 @@ c, c + n, ...; a document is read when demand reaches its first token, so its po
 asked for more than it has is read again (epoch 1, 2, ...); what a source offers beyond its demand is not read.
 The result is range-sorted by position.
 
-Running token counts are two-level: sums over 4096 hash ranges of each source, then a running sum inside each range,
-so that no source, however hot, is one sort.
+Running token counts are two-level: sums over hash ranges of each source, then a running sum inside each range, so
+that no source, however hot, is one sort. There are as many ranges as keep one at about RANGE_ROWS documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, fresh
+from . import kernels as K
+from .common import columns, cut, fresh, orderable, prepare
 
 #: (progress, temperature): at each point weights are proportional to (share of tokens) ^ temperature, so training
 #: begins with the corpus as it is and moves towards equal weights.
 SCHEDULE: tuple[tuple[float, float], ...] = ((0.0, 1.0), (0.4, 0.8), (1.0, 0.5))
-_WORDS = r"[^ \t\n\r\f]+"
+RANGE_ROWS = 100_000
 
 
 def token_count(text: Column) -> Column:
-    """Tokens of a text: its words between white space. A null text has none."""
-    return F.coalesce(F.regexp_count(text, F.lit(_WORDS)), F.lit(0)).cast("long")
+    """Tokens of a text: its words between white space (blanks, tabs, line and page breaks). A null text has none."""
+
+    @F.arrow_udf("bigint")
+    def run(column: pa.Array) -> pa.Array:
+        raw, off = K.text_buffer(column)
+        parts = [K.token_counts(raw[off[i] : off[j]], off[i : j + 1] - off[i]) for i, j in K.slices(off)]
+        return pa.chunked_array([pa.array(p) for p in parts], pa.int64()).combine_chunks()
+
+    return run(text)
 
 
 def demand(totals: DataFrame, schedule: Sequence[tuple[float, float]], horizon: int | None) -> DataFrame:
@@ -63,52 +72,60 @@ def inverse(c: Column, schedule: Sequence[tuple[float, float]]) -> Column:
 
 
 def positions(docs: DataFrame, schedule: Sequence[tuple[float, float]] = SCHEDULE, horizon: int | None = None) -> DataFrame:
-    """(doc_id, tx, source, n_tokens, epoch, progress), unsorted: each reading of each document; tx names the row's text."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tx"), F.col("source").cast("string").alias("source"), token_count(F.col("text")).alias("n_tokens"))
-    base = base.filter("n_tokens > 0").withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("b", F.substring("h", 1, 3))
-    base = cut(base)
+    """(doc_id, k, source, n_tokens, epoch, progress), unsorted: each reading of each document; k names the row's number and text."""
+    prepare(docs.sparkSession)
+    number, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    name = F.md5(F.coalesce(number.cast("string"), text, F.lit("")))
+    base = docs.select(number.alias("doc_id"), F.xxhash64(number, text).alias("k"), F.col("source").cast("string").alias("source"), token_count(text).alias("n_tokens"), name.alias("h"))
+    base = cut(base.filter("n_tokens > 0"))
+    digits, room = 1, 16 * RANGE_ROWS
+    while room < base.count():
+        digits, room = digits + 1, room * 16
+    base = base.withColumn("b", F.substring("h", 1, digits))
     ranges = base.groupBy("source", "b").agg(F.sum("n_tokens").alias("tokens"))
     w = Window.partitionBy("source").orderBy("b")
     before = ranges.withColumn("before", F.sum("tokens").over(w) - F.col("tokens")).select(F.col("source").alias("s"), F.col("b").alias("rb"), "before")
     wanted = demand(ranges.groupBy("source").agg(F.sum("tokens").alias("tokens")), schedule, horizon).withColumnRenamed("source", "ds")
     params = before.join(wanted, F.col("s").eqNullSafe(F.col("ds"))).drop("ds")
     rows = base.join(params, F.col("source").eqNullSafe(F.col("s")) & (F.col("b") == F.col("rb"))).drop("s", "rb")
-    inside = Window.partitionBy("source", "b").orderBy("h", "doc_id", "n_tokens", "tx").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "b").orderBy("h", "doc_id", "n_tokens", "k").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("first", F.col("before") + F.sum("n_tokens").over(inside) - F.col("n_tokens"))
     last = F.col(f"c{len(schedule) - 1}")
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(last / F.col("tokens")).cast("int") - 1, F.lit(0)))))
     rows = rows.withColumn("c", (F.col("epoch") * F.col("tokens") + F.col("first")).cast("double")).filter(F.col("c") < last)
-    return rows.select("doc_id", "tx", "source", "n_tokens", "epoch", inverse(F.col("c"), schedule).alias("progress"))
+    return rows.select("doc_id", "k", "source", "n_tokens", "epoch", inverse(F.col("c"), schedule).alias("progress"))
 
 
 def mix_sources(docs: DataFrame, schedule: Sequence[tuple[float, float]] = SCHEDULE, horizon: int | None = None) -> DataFrame:
     """(doc_id, source, n_tokens, epoch, progress), range-sorted by progress: the order in which documents are read.
 
     horizon: tokens to read; None reads as many as docs has. Uses doc_id, source and text alone. Defined cases: a null,
-    empty or blank text has no tokens and no position; a null source is a source of its own; null doc_ids share one hash
-    and keep their place in its order; repeated rows are read each; equal positions are ordered by source, epoch and
-    doc_id; an empty table gives no rows. progress is rounded to 6 places.
+    empty or blank text has no tokens and no position; a null source is a source of its own; a row without
+    doc_id takes its place by the hash of its text; repeated rows are read each; equal positions are ordered by source,
+    epoch and doc_id; an empty table gives no rows; texts are counted whole, at any length. progress is rounded to 6 places
+    for display; rows are sorted by the value before that.
     """
     rows = positions(docs, schedule, horizon)
-    return rows.select("doc_id", "source", "n_tokens", "epoch", F.round("progress", 6).alias("progress")).orderBy("progress", "source", "epoch", "doc_id")
+    return rows.orderBy("progress", "source", "epoch", "doc_id").select("doc_id", "source", "n_tokens", "epoch", F.round("progress", 6).alias("progress"))
 
 
 def mixed_documents(docs: DataFrame, schedule: Sequence[tuple[float, float]] = SCHEDULE, horizon: int | None = None) -> DataFrame:
     """The rows of docs, all columns, as often as they are read and in that order; cases as in mix_sources().
 
-    Rows that agree in doc_id and text are read as often as their positions say together.
+    Rows that agree in doc_id and text are read as often as their positions say together: in the order of their columns
+    they take the positions in turn.
     """
     rows = positions(docs, schedule, horizon)
-    p_id, p_tx, p_at, p_n, text, copy = fresh(docs, "id", "tx", "at", "copies", "text_hash", "copy")
+    p_k, p_at, p_n, k, copy = fresh(docs, "told", "at", "copies", "key", "copy")
     # a row's readings travel as one list; rows that cannot be told apart deal the list out among themselves
-    reads = rows.groupBy("doc_id", "tx").agg(F.sort_array(F.collect_list("progress")).alias(p_at)).select(F.col("doc_id").alias(p_id), F.col("tx").alias(p_tx), p_at)
-    keyed = docs.withColumn(text, F.xxhash64("text"))
-    joined = keyed.join(reads, F.col("doc_id").cast("long").eqNullSafe(F.col(p_id)) & (F.col(text) == F.col(p_tx)))
-    same = Window.partitionBy("doc_id", text)
-    joined = joined.withColumn(copy, F.row_number().over(same.orderBy(F.lit(0)))).withColumn(p_n, F.count(F.lit(1)).over(same))
+    reads = rows.groupBy("k").agg(F.sort_array(F.collect_list("progress")).alias(p_at)).select(F.col("k").alias(p_k), p_at)
+    keyed = docs.withColumn(k, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    joined = keyed.join(reads, F.col(k) == F.col(p_k))
+    same = Window.partitionBy(k)
+    joined = joined.withColumn(copy, F.row_number().over(same.orderBy(*orderable(docs)))).withColumn(p_n, F.count(F.lit(1)).over(same))
     own = F.filter(F.col(p_at), lambda x, i: F.pmod(i, F.col(p_n)) == F.col(copy) - 1)
     joined = joined.withColumn(p_at, F.explode(own))
-    return joined.orderBy(p_at, "source", "doc_id").select(docs.columns)
+    return joined.orderBy(p_at, "source", "doc_id").select(columns(docs))
 
 
 def mixing_ctes(source: str, schedule: Sequence[tuple[float, float]] = SCHEDULE) -> str:
@@ -127,8 +144,8 @@ def mixing_ctes(source: str, schedule: Sequence[tuple[float, float]] = SCHEDULE)
         x = f"CASE WHEN {r} <= 0 THEN 0.0 ELSE 2 * {r} / (w{k} + sqrt(greatest(w{k} * w{k} + 2 * ((w{k + 1} - w{k}) / {h!r}::DOUBLE) * {r}, 0.0))) END"
         whens.append(f"WHEN c < c{k + 1} THEN {u0!r}::DOUBLE + least({x}, {h!r}::DOUBLE)")
     return f"""
-tok AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f]+')) AS n_tokens FROM {source}),
-tokd AS (SELECT *, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM tok WHERE n_tokens > 0),
+tok AS (SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r\\f]+')) AS n_tokens FROM {source}),
+tokd AS (SELECT *, md5(coalesce(doc_id::VARCHAR, text, '')) AS h FROM tok WHERE n_tokens > 0),
 tot AS (SELECT source, sum(n_tokens)::DOUBLE AS tokens FROM tokd GROUP BY source),
 r AS (SELECT *, sum(tokens) OVER () AS T, {raw} FROM tot),
 w AS (SELECT *, {norm} FROM r),

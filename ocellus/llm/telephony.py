@@ -4,6 +4,9 @@ A payload column holds G.711 mu-law or A-law bytes, or IMA ADPCM blocks; the res
 PCM at one target rate. Companded bytes are expanded by 256-entry lookup tables. ADPCM is decoded across blocks: all
 blocks of a batch advance one nibble at a time as one numpy vector, so the loop is as long as a block, not as the audio.
 Resampling is a polyphase windowed-sinc filter over the clips of a batch laid end to end with silence between them.
+
+Memory is bounded whatever the rates and lengths are: payloads are decoded SLICE_BYTES at a time, filters run over SPAN
+samples at a time, and rates whose ratio to the target has no small terms make their taps as they go.
 """
 
 from __future__ import annotations
@@ -12,15 +15,21 @@ from math import gcd
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, prepare
+from . import kernels as K
+from .common import columns, fresh, prepare
 
 TARGET_RATE = 16_000
 BLOCK = 256
 ZEROS = 16
 MAX_RATE = 384_000
+SLICE_BYTES = 2 << 20
+SPAN = 1 << 20
+#: Up to this term of the ratio of rates, taps are a table and clips share a line.
+_TERM = 2048
 
 _INDEX = np.array([-1, -1, -1, -1, 2, 4, 6, 8] * 2, np.int64)
 #: The step sizes of IMA ADPCM: each is about 1.1 times the one before.
@@ -80,50 +89,90 @@ def adpcm_decode(payloads: list[bytes], block: int) -> list[np.ndarray]:
     return [np.concatenate(p) if p else np.zeros(0, np.int16) for p in parts]
 
 
+def _ratio(rate: int, target: int) -> tuple[int, int]:
+    return target // gcd(rate, target), rate // gcd(rate, target)
+
+
+def _taps(ticks: np.ndarray, up: int, down: int) -> np.ndarray:
+    """The filter at places in units of 1 / (rate * up), 0 beyond ZEROS crossings."""
+    wide = max(up, down)
+    t = ticks / wide
+    window = np.i0(8.0 * np.sqrt(np.maximum(0.0, 1 - (t / ZEROS) ** 2))) / np.i0(8.0)
+    return np.where(np.abs(t) <= ZEROS, np.sinc(t) * window * (up / wide), 0.0)
+
+
+def _filtered(x: np.ndarray, count: int, up: int, down: int, reach: int, table: np.ndarray | None) -> np.ndarray:
+    """The first `count` outputs of a line x that has `reach` samples of silence in front and behind."""
+    half = ZEROS * max(up, down)
+    y = np.zeros(count)
+    if table is None:
+        step = max(1, (1 << 18) // (2 * reach + 1))
+        k = np.arange(-reach, reach + 1)
+        for a in range(0, count, step):
+            at = np.arange(a, min(count, a + step)) * down
+            near, phase = at // up, at % up
+            y[a : a + step] = (_taps(k[None, :] * up - phase[:, None], up, down) * x[near[:, None] + k[None, :] + reach]).sum(axis=1)
+        return y
+    for one in range(min(up, count)):  # outputs one, one + up, ... share one phase; their inputs are `down` apart
+        near, phase = one * down // up, one * down % up
+        many = -(-(count - one) // up)
+        own = np.zeros(many)
+        for k in range(-reach, reach + 1):  # sample near + k stands (k * up - phase) ticks away
+            tick = half + phase - k * up
+            if 0 <= tick <= 2 * half:
+                begin = near + k + reach
+                own += table[tick] * x[begin : begin + (many - 1) * down + 1 : down]
+        y[one::up] = own
+    return y
+
+
 def resample(clips: list[np.ndarray], rate: int, target: int) -> list[np.ndarray]:
     """The clips at the target rate: ceil(n * target / rate) samples each, filtered against aliases."""
     if rate == target:
         return clips
-    up, down = target // gcd(rate, target), rate // gcd(rate, target)
+    up, down = _ratio(rate, target)
     half = ZEROS * max(up, down)
-    t = np.arange(-half, half + 1)
-    taps = np.sinc(t / max(up, down)) * np.kaiser(2 * half + 1, 8.0) * (up / max(up, down))
     reach = half // up + 1
+    table = _taps(np.arange(-half, half + 1), up, down) if max(up, down) <= _TERM else None
+    span = max(1, SPAN // max(up, down)) * up  # outputs at a time: whole rounds of phases
     out = []
     for clip in clips:
         n = -(-len(clip) * up // down)
-        if not n:
-            out.append(np.zeros(0, np.int16))
-            continue
-        x = np.concatenate([np.zeros(reach), clip, np.zeros(reach + 1)])
-        y = np.zeros(n)
-        for first in range(min(up, n)):  # outputs first, first + up, ... share one phase; their inputs are `down` apart
-            near, phase = first * down // up, first * down % up
-            count = -(-(n - first) // up)
-            own = np.zeros(count)
-            for k in range(-reach, reach + 1):  # sample near + k stands (k * up - phase) ticks away
-                tick = half + phase - k * up
-                if 0 <= tick <= 2 * half:
-                    begin = near + k + reach
-                    own += taps[tick] * x[begin : begin + (count - 1) * down + 1 : down]
-            y[first::up] = own
-        out.append(np.clip(np.rint(y), -32768, 32767).astype(np.int16))
+        got = np.empty(n, np.int16)
+        for a in range(0, n, span):
+            count = min(span, n - a)
+            low = a * down // up - reach  # the samples that these outputs see
+            high = (a + count - 1) * down // up + reach + 1
+            x = np.zeros(high - low)
+            x[max(0, -low) : max(0, min(len(clip), high) - low)] = clip[max(0, low) : min(len(clip), high)]
+            y = _filtered(x, count, up, down, reach, table)
+            got[a : a + count] = np.clip(np.rint(y), -32768, 32767)
+        out.append(got)
     return out
 
 
 def _resample_all(clips: list[np.ndarray], rate: int, target: int) -> list[np.ndarray]:
-    """resample() over all clips at once: laid end to end on a grid where each begins on an output sample."""
+    """resample() over many clips at once: laid end to end on a grid where each begins on an output sample, a line of about SPAN at a time."""
     if rate == target or not clips:
         return clips
-    up, down = target // gcd(rate, target), rate // gcd(rate, target)
+    up, down = _ratio(rate, target)
+    if max(up, down) > _TERM:
+        return resample(clips, rate, target)
     gap = 2 * (ZEROS * max(up, down) // up + 2)
-    room = [-(-(len(c) + gap) // down) * down for c in clips]
-    begin = np.cumsum([0, *room])
-    line = np.zeros(begin[-1], np.int16)
-    for c, b in zip(clips, begin):
-        line[b : b + len(c)] = c
-    long = resample([line], rate, target)[0]
-    return [long[b * up // down : b * up // down + -(-len(c) * up // down)] for c, b in zip(clips, begin)]
+    out: list[np.ndarray] = []
+    a = 0
+    while a < len(clips):
+        begin, z = [0], a
+        while z < len(clips) and (z == a or begin[-1] < SPAN):
+            begin.append(begin[-1] + -(-(len(clips[z]) + gap) // down) * down)
+            z += 1
+        line = np.zeros(begin[-1], np.int16)
+        for c, b in zip(clips[a:z], begin):
+            line[b : b + len(c)] = c
+        long = resample([line], rate, target)[0]
+        out += [long[b * up // down : b * up // down + -(-len(c) * up // down)] for c, b in zip(clips[a:z], begin)]
+        a = z
+    return out
 
 
 def decode(payloads: list[bytes | None], codecs: list[str | None], rates: list[int | None], blocks: list[int | None], target: int = TARGET_RATE) -> tuple[list[np.ndarray | None], list[str | None]]:
@@ -165,23 +214,31 @@ def decode_media(df: DataFrame, payload: str, codec: str, rate: str, block: str,
     each; an empty table gives no rows. A column of df that has one of the four names is replaced.
     """
     prepare(df.sparkSession)
+    kind = pa.struct([("n_samples", pa.int64()), ("pcm", pa.binary()), ("error", pa.string())])
 
     @F.arrow_udf("struct<n_samples:bigint,pcm:binary,error:string>")
     def run(p: pa.Array, c: pa.Array, r: pa.Array, b: pa.Array) -> pa.Array:
-        clips, errors = decode(p.to_pylist(), c.to_pylist(), r.to_pylist(), b.to_pylist(), target)
-        return pa.StructArray.from_arrays(
-            [
-                pa.array([None if x is None else len(x) for x in clips], pa.int64()),
-                pa.array([None if x is None else x.astype("<i2").tobytes() for x in clips], pa.binary()),
-                pa.array(errors, pa.string()),
-            ],
-            ["n_samples", "pcm", "error"],
-        )
+        size = pa.compute.fill_null(pa.compute.binary_length(p), 0).to_numpy(zero_copy_only=False)
+        upto = np.concatenate([[0], np.cumsum(size)])
+        parts = []
+        for i, j in K.slices(upto, SLICE_BYTES):
+            clips, errors = decode(*(x.slice(i, j - i).to_pylist() for x in (p, c, r, b)), target)
+            parts.append(
+                pa.StructArray.from_arrays(
+                    [
+                        pa.array([None if x is None else len(x) for x in clips], pa.int64()),
+                        pa.array([None if x is None else x.astype("<i2").tobytes() for x in clips], pa.binary()),
+                        pa.array(errors, pa.string()),
+                    ],
+                    ["n_samples", "pcm", "error"],
+                )
+            )
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
 
     (got,) = fresh(df, "decoded")
     out = df.withColumn(got, run(F.col(payload).cast("binary"), F.col(codec).cast("string"), F.col(rate).cast("int"), F.col(block).cast("int")))
     new = {"sample_rate": F.when(F.col(f"{got}.error").isNull(), F.lit(target)), "n_samples": F.col(f"{got}.n_samples"), "pcm": F.col(f"{got}.pcm"), "error": F.col(f"{got}.error")}
-    return out.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in new), *(v.alias(k) for k, v in new.items()))
+    return out.select(*(own for c, own in zip(df.columns, columns(df)) if c.lower() not in new), *(v.alias(k) for k, v in new.items()))
 
 
 def call_audio(conversations: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ocellus.llm import language_id, license_scan, ngram_jaccard, packing, pii,
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 LONG = " ".join(WORDS[(i * i + i // 7) % 20] + WORDS[i % 19] + WORDS[i % 17] for i in range(40_000))
 #: Columns that operators make for themselves or return; docs may have them too.
-CLASHES = ["keep", "broken", "jaccard", "__masked", "__signals", "__at", "progress", "epoch", "doc_ids", "probability", "TX", "s1", "size"]
+CLASHES = ["keep", "broken", "jaccard", "__masked", "__signals", "__at", "progress", "epoch", "doc_ids", "probability", "TX", "s1", "size", "a.b", "__key"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -114,6 +114,7 @@ def test_op8_cases(spark, docs):
     assert all(sum(r.lengths) == r.used <= 512 for r in got)
     assert sum(r.used for r in got) == docs.agg(F.sum(source_mixing.token_count(F.col("text")))).first()[0]
     assert None in {i for r in got for i in r.doc_ids}
+    assert sum(len(t.split()) for r in got for t in r.texts) == sum(r.used for r in got)
 
 
 def test_op9_cases(spark, docs):
@@ -167,3 +168,52 @@ def test_mixing_deals_repeated_rows_out(spark):
     d = spark.createDataFrame([(1, "one two three", "en", "a", 1)] * 3 + [(i, f"w{i} " * 30, "en", "b", 1) for i in range(2, 40)], SCHEMA)
     whole = source_mixing.mix_sources(d).filter("doc_id = 1").count()
     assert source_mixing.mixed_documents(d).filter("doc_id = 1").count() == whole
+
+
+def test_near_copies_without_number(spark):
+    words = [f"w{k}" for k in range(60)]
+    text, near = " ".join(words), " ".join([*words[:30], "other", *words[31:]])
+    for a, b in ((None, None), (1, None)):
+        d = spark.createDataFrame([(a, text, "en", "s", 1), (b, near, "en", "s", 1), (None, "nothing like the others here", "en", "s", 1)], SCHEMA)
+        kept = ngram_jaccard.drop_near_duplicates(d).collect()
+        assert len(kept) == 2 and (a is None or text in {r.text for r in kept})
+
+
+def test_repeated_rows_that_differ_elsewhere(spark):
+    rows = [(7, "the very same text in each row", lang, "s", 1) for lang in ("fr", "de", "en")]
+    for order in (rows, rows[::-1]):
+        assert [r.lang for r in ngram_jaccard.drop_near_duplicates(spark.createDataFrame(order, SCHEMA)).collect()] == ["de"]
+
+
+BLOB = "a1" * 1_000_000
+
+
+def test_long_texts_without_spaces(spark):
+    d = spark.createDataFrame([(1, BLOB, "en", "s", len(BLOB)), (2, "x-" * 500_000 + "://", "en", "s", 1), (3, BLOB + " mail to ann@mail.example.com", "en", "s", 1)], SCHEMA)
+    assert [r.doc_id for r in pii.find_pii(d).collect()] in ([3], [])
+    assert secret_scan.secret_scan(d).count() == 0
+    assert quality_rules.quality_decisions(d).count() == 3
+    assert ngram_jaccard.drop_near_duplicates(d).count() == 3
+    assert packing.pack_documents(d).agg(F.sum("used")).first()[0] == 6
+    assert language_id.language_id(d).count() == 3 and license_scan.license_scan(d).count() == 0
+    assert toxicity.toxicity(d, labels(spark, True)).count() == 3
+
+
+def test_ties(spark):
+    """Rows of one text get one answer each, whatever their number; licenses that tie are both reported."""
+    text = "Released under the MIT License. All rights reserved."
+    d = spark.createDataFrame([(k, text, "en", "s", 1) for k in (3, 1, 2)], SCHEMA)
+    assert len({(r.severity, r.grade) for r in toxicity.toxicity(d, labels(spark, True)).collect()}) == 1
+    assert len({(r.predicted_lang, r.probability) for r in language_id.language_id(d).collect()}) == 1
+    assert sorted((r.doc_id, r.license) for r in license_scan.license_scan(d).collect()) == sorted((k, name) for k in (1, 2, 3) for name in ("MIT-notice", "all-rights-reserved"))
+
+
+def test_mixing_spreads_rows_without_number(spark):
+    d = spark.createDataFrame([(None, f"text number {k} of many", "en", "s", 1) for k in range(50)], SCHEMA)
+    first, again = ([(r.n_tokens, r.progress) for r in source_mixing.mix_sources(x).collect()] for x in (d, d.repartition(3)))
+    assert first == again and len({p for _, p in first}) == 50
+
+
+def test_pii_forms(spark):
+    forms = ["card 3782 822463 10005 please", "call +33 6 12 34 56 78 today", "tel 06 12 34 56 78 now", "telefon 030 12345678 bitte"]
+    assert [[k for *_, k, _ in pii.candidates(f)] for f in forms] == [["CARD"], ["PHONE"], ["PHONE"], ["PHONE"]]

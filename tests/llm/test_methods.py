@@ -216,6 +216,8 @@ def test_quality_against_sql_and_labels(spark):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{d}/documents.parquet'")
     want = {r[0]: (*r[3:7], r[7], r[8]) for r in con.execute(quality_rules.ORACLE).fetchall()}
     assert got == want
+    limits = quality_rules.limits(quality_rules.sketches(docs.withColumn("s", quality_rules.signals(docs.text)), "s")).collect()
+    assert all(len({r[rule] for r in limits}) > 1 for rule in quality_rules.RULES)  # they follow the sources
     good = dict(con.execute(f"SELECT doc_id, quality FROM '{d}/labels.parquet'").fetchall())
     assert all(got[i][-1] for i, q in good.items() if q)
     assert np.mean([not got[i][-1] for i, q in good.items() if not q]) > 0.9
@@ -386,6 +388,7 @@ def test_hierarchical_packing(spark):
         assert sum(r.lengths) == r.used <= 256
         for d, s, n in zip(r.doc_ids, r.starts, r.lengths):
             covered.update((d, k) for k in range(s, s + n))
+        assert [len(t.split()) for t in r.texts] == r.lengths
     assert covered == Counter((i, k) for i, t in rows for k in range(len(t.split())))
     rests = sorted((len(t.split()) % 256 for _, t in rows if len(t.split()) % 256), reverse=True)
     ideal = len(best_fit_by_hand(rests, 256)) + sum(len(t.split()) // 256 for _, t in rows)
@@ -474,6 +477,17 @@ def test_ngram_kernel(texts, n):
             assert len(np.intersect1d(g[d == i], g[d == j])) == len(want[i] & want[j])
 
 
+def test_packing_keeps_the_order_of_files(spark, tmp_path):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat(concat('w', id, ' '), 5 + cast(id % 60 AS int)) AS text").repartitionByRange(6, "doc_id")
+    docs.write.parquet(str(tmp_path / "ordered"))
+    rows = packing.pack_documents(spark.read.parquet(str(tmp_path / "ordered")), capacity=128, by_file=True).orderBy("part").collect()
+    middle = {}
+    for r in rows:
+        middle.setdefault(r.part, []).extend(r.doc_ids)
+    full = [np.mean(v) for _, v in sorted(middle.items())]
+    assert len(full) == 6 and full == sorted(full)
+
+
 def test_pipeline_against_its_stages_by_hand(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = {r.doc_id: r for r in docs.collect()}
@@ -495,6 +509,7 @@ def test_pipeline_against_its_stages_by_hand(spark):
     want = Counter({(i, k): n for i, n in reads.items() for k in range(len(masked[i].split()))})
     got = Counter()
     for r in corpus_pipeline.run(spark, SF).collect():
-        for d, s, n in zip(r.doc_ids, r.starts, r.lengths):
+        for d, s, n, text in zip(r.doc_ids, r.starts, r.lengths, r.texts):
             got.update((d, k) for k in range(s, s + n))
+            assert text.split() == masked[d].split()[s : s + n]  # a sequence needs nothing but itself
     assert got == want
