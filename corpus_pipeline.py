@@ -12,7 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ocellus.llm.common import shared_folder
+from ocellus.llm.common import delete, shared_folder
 from ocellus.llm.ngram_jaccard import drop_near_duplicates
 from ocellus.llm.packing import pack_documents
 from ocellus.llm.pii import mask_pii
@@ -43,8 +43,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: sequences of packed documents."""
-    return pack_documents(docs)
+    """Operator 8: sequences of packed documents, with their text, neighbourhood by neighbourhood of the curriculum's order."""
+    return pack_documents(docs, by_file=True)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -63,10 +63,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table. Hand-overs are Parquet tables in the cluster's shared folder, removed at the end."""
     folder = f"{shared_folder(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
-    packed = STAGES[-1][1](spark, docs, sf_dir)  # its tables are checkpointed: it reads docs no more
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return packed
+    try:
+        for k, (_, stage) in enumerate(STAGES[:-1]):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+            if k:
+                delete(spark, f"{folder}/{k - 1}")
+            docs = spark.read.parquet(f"{folder}/{k}")
+        return STAGES[-1][1](spark, docs, sf_dir)  # its tables are checkpointed and hold the text: it reads docs no more
+    finally:
+        delete(spark, folder)
