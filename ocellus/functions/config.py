@@ -1,4 +1,4 @@
-"""Tasks, precisions, devices and inference options, with the spellings that are understood."""
+"""Tasks, precisions, devices and options of a prediction, with the spellings that are understood."""
 
 from __future__ import annotations
 

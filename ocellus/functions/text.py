@@ -58,6 +58,20 @@ def source_kind(uri: Column) -> Column:
     )
 
 
+def is_image_kind(kind: Column) -> Column:
+    return kind.isin("image", "image_url")
+
+
+def is_video_kind(kind: Column) -> Column:
+    """Whether frames follow each other: video files, cameras and streams."""
+    return kind.isin("video", "webcam", "stream")
+
+
+def is_batch_kind(kind: Column) -> Column:
+    """Whether there are many images."""
+    return kind.isin("directory", "glob", "image_list")
+
+
 def output_stem(path: Column, frame_idx: Column, total_frames: Column) -> Column:
     """A class map's file stem: the image's own if it is the only frame, else with the frame number in six digits."""
     name = F.element_at(F.split(path, "/"), -1)

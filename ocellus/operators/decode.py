@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from ocellus.functions import geometry as G
 from ocellus.functions import vectors as V
 from ocellus.functions.config import InferenceConfig
-from ocellus.operators.nms import nms, ranked
+from ocellus.operators.nms import nms
 
 #: Rows that a head of (x1, y1, x2, y2, conf, cls) rows may have to count as decoded already.
 END2END_ROWS = 4096
@@ -73,15 +73,18 @@ def _clip(df: DataFrame) -> DataFrame:
 
 
 def detect_candidates(head: DataFrame, config: InferenceConfig) -> DataFrame:
-    """Boxes over the confidence (strictly) whose first best class is asked for; at most 10 * max_det an image."""
+    """Boxes over the confidence (strictly) whose first best class is asked for."""
     found = _best(head, V.first_best(F.col("scores"))).filter((F.col("conf") > G.f32(config.conf)) & class_filter(F.col("cls"), config))
-    return ranked(_box(found, clip=False), 10 * config.max_det, "__pre").drop("__pre")
+    return _box(found, clip=False)
 
 
 def detect(head: DataFrame, config: InferenceConfig, strategy: str = "numpy") -> DataFrame:
-    """(image_id, det_rank, pred_id, cls, conf, x1, y1, x2, y2): suppression sees unclipped boxes, the result is clipped."""
-    kept = nms(detect_candidates(head, config), config.iou, strategy=strategy)
-    return _clip(ranked(kept, config.max_det, "det_rank")).select("image_id", "det_rank", "pred_id", "cls", "conf", "x1", "y1", "x2", "y2")
+    """(image_id, det_rank, pred_id, cls, conf, x1, y1, x2, y2): suppression sees unclipped boxes, the result is clipped.
+
+    Only the 10 * max_det best boxes of an image take part.
+    """
+    kept = nms(detect_candidates(head, config), config.iou, strategy=strategy, before=10 * config.max_det, limit=config.max_det, rank="det_rank")
+    return _clip(kept).select("image_id", "det_rank", "pred_id", "cls", "conf", "x1", "y1", "x2", "y2")
 
 
 def boxes_inclusive(head: DataFrame, config: InferenceConfig) -> DataFrame:
@@ -92,7 +95,7 @@ def boxes_inclusive(head: DataFrame, config: InferenceConfig) -> DataFrame:
 
 def segment(head: DataFrame, config: InferenceConfig) -> DataFrame:
     """detect() by the rules of segment heads; `extra` goes through as the mask's coefficients."""
-    kept = ranked(nms(boxes_inclusive(head, config), config.iou), config.max_det, "det_rank")
+    kept = nms(boxes_inclusive(head, config), config.iou, limit=config.max_det, rank="det_rank")
     return kept.select("image_id", "det_rank", "pred_id", "cls", "conf", "x1", "y1", "x2", "y2", F.col("extra").alias("coefficients"))
 
 
@@ -111,7 +114,7 @@ def scale_keypoints(extra: Column, dim: int) -> Column:
 def pose(head: DataFrame, config: InferenceConfig, dim: int = 3) -> DataFrame:
     """detect() by the rules of pose heads, with keypoints: array of struct(x, y, conf)."""
     boxes = boxes_inclusive(head, config).withColumn("keypoints", scale_keypoints(F.col("extra"), dim)).drop("extra")
-    return ranked(nms(boxes, config.iou), config.max_det, "det_rank").select("image_id", "det_rank", "pred_id", "cls", "conf", "x1", "y1", "x2", "y2", "keypoints")
+    return nms(boxes, config.iou, limit=config.max_det, rank="det_rank").select("image_id", "det_rank", "pred_id", "cls", "conf", "x1", "y1", "x2", "y2", "keypoints")
 
 
 def obb(head: DataFrame, config: InferenceConfig) -> DataFrame:
@@ -125,14 +128,10 @@ def obb(head: DataFrame, config: InferenceConfig) -> DataFrame:
         "pred_id",
         "cls",
         "conf",
-        G.clamp(G.ratio(F.col("cx") - F.col("pad_left"), F.col("scale")), 0, F.col("orig_w")).alias("cx"),
-        G.clamp(G.ratio(F.col("cy") - F.col("pad_top"), F.col("scale")), 0, F.col("orig_h")).alias("cy"),
-        G.ratio(F.col("w"), F.col("scale")).alias("w"),
-        G.ratio(F.col("h"), F.col("scale")).alias("h"),
-        F.get(F.col("extra"), F.lit(0)).alias("angle"),
+        *_turned(F.col("cx"), F.col("cy"), F.col("w"), F.col("h"), F.get(F.col("extra"), F.lit(0))),
     )
-    kept = nms(out, config.iou, columns=("cx", "cy", "w", "h", "angle"))
-    return ranked(kept, config.max_det, "det_rank").select("image_id", "det_rank", "pred_id", "cls", "conf", "cx", "cy", "w", "h", "angle")
+    kept = nms(out, config.iou, columns=("cx", "cy", "w", "h", "angle"), limit=config.max_det, rank="det_rank")
+    return kept.select("image_id", "det_rank", "pred_id", "cls", "conf", "cx", "cy", "w", "h", "angle")
 
 
 def classify(logits: DataFrame, scores: str = "scores") -> DataFrame:
@@ -140,26 +139,53 @@ def classify(logits: DataFrame, scores: str = "scores") -> DataFrame:
     return logits.withColumn("probs", V.softmax(F.col(scores)))
 
 
+def _read(rows: DataFrame, config: InferenceConfig) -> DataFrame:
+    """Final rows in order, up to the first confidence under the threshold (a NaN is not under it); then the class filter and the max_det cap."""
+    order = Window.partitionBy("image_id").orderBy("pred_id")
+    low = (F.col("conf") < G.f32(config.conf)) & ~F.isnan("conf")
+    read = rows.withColumn("__stop", F.max(low).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(~F.col("__stop")).drop("__stop")
+    return read.filter(class_filter(F.col("cls"), config)).withColumn("det_rank", F.row_number().over(order).cast("long") - 1).filter(F.col("det_rank") < config.max_det)
+
+
 def end2end(rows: DataFrame, config: InferenceConfig) -> DataFrame:
     """Final rows (image_id, pred_id, x1, y1, x2, y2, conf, cls, extra) read in order, without suppression.
 
-    Reading stops at the first confidence under the threshold (a NaN is not under it); then the class filter and the
-    max_det cap apply, and boxes are scaled and clipped. `extra` goes through.
+    Boxes are scaled and clipped; `extra` goes through.
     """
-    order = Window.partitionBy("image_id").orderBy("pred_id")
-    low = (F.col("conf") < G.f32(config.conf)) & ~F.isnan("conf")
-    read = rows.withColumn("__stop", F.max(low).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(~F.col("__stop")).drop("__stop")
-    kept = read.filter(class_filter(F.col("cls"), config)).withColumn("det_rank", F.row_number().over(order).cast("long") - 1).filter(F.col("det_rank") < config.max_det)
+    kept = _read(rows, config)
     box = G.clip_coords(G.scale_coords(F.struct("x1", "y1", "x2", "y2"), F.col("scale"), F.col("pad_top"), F.col("pad_left")), F.col("orig_h"), F.col("orig_w"))
     keep = [c for c in kept.columns if c not in ("x1", "y1", "x2", "y2")]
     return kept.withColumn("__box", box).select(*keep, "__box.*")
 
 
-def denormalize(head: DataFrame, in_h: int, in_w: int) -> DataFrame:
-    """Heads in units of the input (no box value of an image over 2) in pixels; others are left as they are."""
+def _turned(cx: Column, cy: Column, w: Column, h: Column, angle: Column) -> list[Column]:
+    """A rotated box in the image's pixels: the center is scaled and clamped, extents are only scaled."""
+    return [
+        G.clamp(G.ratio(cx - F.col("pad_left"), F.col("scale")), 0, F.col("orig_w")).alias("cx"),
+        G.clamp(G.ratio(cy - F.col("pad_top"), F.col("scale")), 0, F.col("orig_h")).alias("cy"),
+        G.ratio(w, F.col("scale")).alias("w"),
+        G.ratio(h, F.col("scale")).alias("h"),
+        angle.alias("angle"),
+    ]
+
+
+def end2end_obb(rows: DataFrame, config: InferenceConfig) -> DataFrame:
+    """end2end() of rotated boxes: the four box values are center and extents, the first of `extra` is the angle."""
+    box = _turned(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.get("extra", F.lit(0)))
+    return _read(rows, config).select("image_id", "det_rank", "pred_id", "cls", "conf", *box)
+
+
+def denormalize(head: DataFrame, in_h: int, in_w: int, dim: int = 0) -> DataFrame:
+    """Heads in units of the input (no box value of an image over 2) in pixels; others are left as they are.
+
+    dim: values a point, if `extra` holds keypoints; their x and y are scaled too.
+    """
     w = Window.partitionBy("image_id")
     most = F.max(F.greatest(*(F.abs(c) for c in ("cx", "cy", "w", "h")))).over(w)
     out = head.withColumn("__unit", most <= 2.0)
     for c, size in (("cx", in_w), ("cy", in_h), ("w", in_w), ("h", in_h)):
         out = out.withColumn(c, F.when(F.col("__unit"), F.col(c) * G.f32(size)).otherwise(F.col(c)))
+    if dim:
+        size = lambda k: F.when(F.pmod(k, F.lit(dim)) == 0, G.f32(in_w)).when(F.pmod(k, F.lit(dim)) == 1, G.f32(in_h)).otherwise(G.f32(1))
+        out = out.withColumn("extra", F.when(F.col("__unit"), F.transform("extra", lambda v, k: v * size(k))).otherwise(F.col("extra")))
     return out.drop("__unit")

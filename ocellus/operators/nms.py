@@ -89,14 +89,30 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
-def nms(boxes: DataFrame, threshold: float, columns: tuple[str, ...] = ("x1", "y1", "x2", "y2"), image: str = "image_id", cls: str = "cls", score: str = "conf", tie: str = "pred_id", strategy: str = "numpy") -> DataFrame:
+def nms(
+    boxes: DataFrame,
+    threshold: float,
+    columns: tuple[str, ...] = ("x1", "y1", "x2", "y2"),
+    image: str = "image_id",
+    cls: str = "cls",
+    score: str = "conf",
+    tie: str = "pred_id",
+    strategy: str = "numpy",
+    before: int | None = None,
+    limit: int | None = None,
+    rank: str | None = None,
+) -> DataFrame:
     """The rows of boxes that per-class greedy suppression keeps, all columns.
 
     Preference: higher score, NaN last, then smaller `tie`. Suppression is strict (> threshold) and only inside one
-    image and class. Five columns are rotated boxes (cx, cy, w, h, angle) and use probabilistic IoU.
+    image and class. Five columns are rotated boxes (cx, cy, w, h, angle) and use probabilistic IoU. before: only so many
+    of an image's best rows take part. rank: a column that is added, with the rank in the image from 0; limit: the ranks
+    that stay. All of it is done behind one shuffle by image.
     """
     if strategy == "fold":
-        return _fold(boxes, threshold, columns, image, cls, score, tie)
+        first = ranked(boxes, before, "__pre", image, score, tie).drop("__pre") if before else boxes
+        kept = _fold(first, threshold, columns, image, cls, score, tie)
+        return ranked(kept, limit or 1 << 31, rank, image, score, tie) if rank else kept
     nan, key = "__nan", "__key"
     s = F.col(score)
     ready = boxes.withColumn(nan, F.isnan(s)).withColumn(key, F.when(F.isnan(s), F.lit(0.0).cast("float")).otherwise(-s))
@@ -104,16 +120,39 @@ def nms(boxes: DataFrame, threshold: float, columns: tuple[str, ...] = ("x1", "y
     overlap = iou_rows if len(columns) == 4 else probiou_rows
     own = boxes.columns
 
+    def borders(*keys: np.ndarray) -> np.ndarray:
+        change = np.zeros(len(keys[0]), bool)
+        for k in keys:
+            change[1:] |= k[1:] != k[:-1]
+        return np.concatenate([[0], np.flatnonzero(change), [len(change)]]) if len(change) else np.zeros(1, np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _runs(batches, [image, cls]):
-            a, b = table.column(image).to_numpy(), table.column(cls).to_numpy()
-            xy = np.stack([table.column(c).to_numpy() for c in columns], axis=1).astype(np.float32)
-            first = np.concatenate([[0], np.flatnonzero((a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1, [len(a)]])
-            alive = np.concatenate([greedy(xy[i:j], threshold, overlap) for i, j in zip(first[:-1], first[1:])])
-            for batch in table.select(own).filter(pa.array(alive)).to_batches():
-                yield batch
-
-    return ready.mapInArrow(run, T.StructType(boxes.schema.fields))
+        for table in _runs(batches, [image]):
+            best = [table.column(c).to_numpy() for c in (tie, key, nan, image)]  # np.lexsort reads them from the last
+
+            def ranks(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """The rows by image and preference, and their ranks."""
+                rows = rows[np.lexsort([k[rows] for k in best])]
+                first = borders(best[-1][rows])
+                return rows, np.arange(len(rows)) - np.repeat(first[:-1], np.diff(first))
+
+            rows = np.arange(table.num_rows)
+            if before:
+                rows, at = ranks(rows)
+                rows = np.sort(rows[at < before])
+            a, b = best[-1][rows], table.column(cls).to_numpy()[rows]
+            xy = np.stack([table.column(c).to_numpy()[rows] for c in columns], axis=1).astype(np.float32)
+            first = borders(a, b)
+            kept = rows[np.concatenate([greedy(xy[i:j], threshold, overlap) for i, j in zip(first[:-1], first[1:])])]
+            if rank is None:
+                yield from table.select(own).take(pa.array(kept)).to_batches()
+                continue
+            kept, at = ranks(kept)
+            if limit is not None:
+                kept, at = kept[at < limit], at[at < limit]
+            yield from table.select(own).take(pa.array(kept)).append_column(rank, pa.array(at.astype(np.int64))).to_batches()
+
+    return ready.mapInArrow(run, T.StructType([*boxes.schema.fields, *([T.StructField(rank, T.LongType())] if rank else [])]))
 
 
 def _fold(boxes: DataFrame, threshold: float, columns: tuple[str, ...], image: str, cls: str, score: str, tie: str) -> DataFrame:

@@ -35,6 +35,13 @@ def letterbox_geometry(height: int, width: int, in_h: int, in_w: int) -> tuple[f
     return scale, new_h, new_w, max(0, in_h - new_h) // 2, max(0, in_w - new_w) // 2
 
 
+def rect_extents(height: int, width: int, in_h: int, in_w: int, stride: int) -> tuple[int, int]:
+    """(h, w) as in functions.geometry.rect_size."""
+    scale = min(F32(in_h) / F32(height), F32(in_w) / F32(width))
+    up = lambda x: max(-(-_half_up(float(F32(x) * scale)) // stride) * stride, stride)
+    return up(height), up(width)
+
+
 @lru_cache(maxsize=64)
 def _taps(src: int, dst: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Half-pixel bilinear taps of one axis: both indexes, and the second's weight in 11-bit fixed point."""
@@ -236,6 +243,33 @@ def semantic_map(data: Column, classes: Column, h: Column, w: Column, height: Co
     return run(data, classes, h, w, height, width)
 
 
+def semantic_output(data: Column, shape: Column, height: Column, width: Column) -> Column:
+    """binary: the class map (little-endian 16-bit) of an output of any kind at the image's size; null where it has none.
+
+    Of one byte a value it is a class map that the model made, (1, h, w) or (h, w); else it holds logits (1, c, h, w).
+    """
+
+    @F.arrow_udf("binary")
+    def run(p: pa.Array, s: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
+        out = []
+        for raw, dims, oh, ow in zip(p.to_pylist(), s.to_pylist(), c.to_pylist(), d.to_pylist()):
+            count = int(np.prod(dims)) if dims else 0
+            got = None
+            if raw is not None and count and len(dims) >= 2 and len(raw) == count and count == dims[-1] * dims[-2]:
+                got = baked_map(np.frombuffer(raw, np.uint8).reshape(dims[-2:]), oh, ow)
+            elif raw is not None and count and len(dims) >= 3 and len(raw) == 4 * count:
+                got = class_map(np.frombuffer(raw, "<f4")[: dims[-1] * dims[-2] * dims[-3]].reshape(dims[-3:]), oh, ow)
+            out.append(None if got is None else pack(got, "<u2"))
+        return pa.array(out, pa.binary())
+
+    return run(data, shape, height, width)
+
+
+def depth_layer(depth: np.ndarray, colormap: str = "jet", viz: str = "disparity") -> np.ndarray:
+    """(h, w, 4): a colorized depth map without transparency."""
+    return np.concatenate([colorize(depth, colormap, viz), np.full((*depth.shape, 1), 255, np.uint8)], axis=2)
+
+
 def plane_values(data: Column, dtype: str = "<f4") -> Column:
     """A plane's binary as an array of doubles."""
 

@@ -71,15 +71,22 @@ def summary_rows(dets: DataFrame, names: DataFrame, normalize: bool = False) ->
     return named.select("image_id", "det_rank", "name", F.col("cls").alias("class"), F.col("conf").alias("confidence"), box.alias("box"))
 
 
+def probs_rows(probs: DataFrame, names: DataFrame) -> DataFrame:
+    """(image_id, name, class, confidence): the row of each image that was classified, its best class."""
+    best = probs.withColumn("__best", F.get(V.top_k(F.col("probs"), 1), F.lit(0))).filter(F.col("__best").isNotNull())
+    named = with_names(best.withColumn("cls", F.col("__best.idx").cast("int")), names, F.col("cls").cast("string"))
+    return named.select("image_id", "name", F.col("cls").alias("class"), F.col("__best.p").alias("confidence"))
+
+
 def speed_report(timings: DataFrame) -> DataFrame:
     """Mean milliseconds of each stage over images; a stage that was not timed counts as 0."""
     stage = lambda c: (F.coalesce(F.sum(c), F.lit(0.0)) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias(c)
-    return timings.agg(stage("preprocess"), stage("inference"), stage("postprocess"))
+    return timings.agg(stage("preprocess"), stage("forward"), stage("postprocess"))
 
 
-def speed_total(preprocess: Column, inference: Column, postprocess: Column) -> Column:
+def speed_total(preprocess: Column, forward: Column, postprocess: Column) -> Column:
     zero = F.lit(0.0)
-    return F.coalesce(preprocess, zero) + F.coalesce(inference, zero) + F.coalesce(postprocess, zero)
+    return F.coalesce(preprocess, zero) + F.coalesce(forward, zero) + F.coalesce(postprocess, zero)
 
 
 def verbose_line(number: Column, total: Column, path: Column, height: Column, width: Column, summary: Column, ms: Column) -> Column:

@@ -45,7 +45,7 @@ def _boxes(df: DataFrame, *more: str) -> DataFrame:
     return df.select("image_id", "det_rank", "pred_id", "cls", r("conf", 4).alias("conf"), *(r(c).alias(c) for c in ("x1", "y1", "x2", "y2")), *more)
 
 
-# SQL pieces -------------------------------------------------------------------------------------------------------
+# SQL pieces ----
 
 FIRST_BEST = "list_position(scores, list_max(scores)) - 1"
 LAST_BEST = "len(scores) - list_position(list_reverse(scores), list_max(scores))"
@@ -120,7 +120,7 @@ def _geometry(spark: SparkSession, d: str) -> DataFrame:
     return A.head(spark, d).select("image_id", "orig_h", "orig_w").distinct()
 
 
-# detection --------------------------------------------------------------------------------------------------------
+# detection ----
 
 
 @query(f"WITH RECURSIVE {DETECT} SELECT {BOX_OUT} FROM clipped")
@@ -332,6 +332,45 @@ def end2end_cutoff(spark: SparkSession, d: str) -> DataFrame:
     return _boxes(decode.end2end(rows, InferenceConfig(conf=0.6, max_det=100, classes=(0, 1, 2))))
 
 
+_TURNED_SQL = {"cx": "least(greatest((x1 - pad_left) / scale, 0::FLOAT), orig_w::FLOAT)", "cy": "least(greatest((y1 - pad_top) / scale, 0::FLOAT), orig_h::FLOAT)", "w": "x2 / scale", "h": "y2 / scale", "angle": "conf * 2::FLOAT"}
+
+
+@query(f"WITH {_E2E_SQL} SELECT image_id, det_rank, pred_id, cls, {rs('conf', 4)} AS conf, {', '.join(f'{rs(x)} AS {c}' for c, x in _TURNED_SQL.items())} FROM ranked WHERE det_rank < 100")
+def end2end_obb(spark: SparkSession, d: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    h = A.head(spark, d).withColumn("b", G.xywh_to_xyxy(F.col("cx"), F.col("cy"), F.col("w"), F.col("h"))).withColumn("conf", F.get("scores", F.lit(0)))
+    order = Window.partitionBy("image_id").orderBy(F.desc("conf"), "pred_id")
+    rows = h.select("image_id", F.row_number().over(order).cast("long").alias("pred_id"), "b.*", "conf", F.pmod("pred_id", F.lit(4)).cast("int").alias("cls"), F.array(F.col("conf") * G.f32(2)).alias("extra"), "scale", "pad_top", "pad_left", "orig_h", "orig_w")
+    got = decode.end2end_obb(rows, InferenceConfig(conf=0.6, max_det=100, classes=(0, 1, 2)))
+    return got.select("image_id", "det_rank", "pred_id", "cls", r("conf", 4).alias("conf"), *(r(c).alias(c) for c in _TURNED_SQL))
+
+
+@query(f"WITH RECURSIVE {DETECT_HIGH} SELECT {BOX_OUT} FROM clipped")
+def engine_halves(spark: SparkSession, d: str) -> DataFrame:
+    """The engine's second half over outputs as a model gives them: one binary tensor an image."""
+    from ocellus.plans.engine import explode_head
+
+    geometry = ("orig_h", "orig_w", "scale", "pad_top", "pad_left")
+    row = F.struct("pred_id", F.concat(F.array("cx", "cy", "w", "h"), "scores").alias("v"))
+    images = A.head(spark, d).groupBy("image_id", *geometry).agg(F.array_sort(F.collect_list(row)).alias("p"))
+
+    @F.arrow_udf("binary")
+    def tensor(v):
+        import numpy as np
+        import pyarrow as pa
+
+        return pa.array([np.array(x, "<f4").tobytes() for x in v.to_pylist()], pa.binary())
+
+    width = F.size(F.get("p", F.lit(0))["v"])
+    output = F.struct(tensor(F.flatten(F.transform("p", lambda x: x["v"]))).alias("data"), F.array(F.lit(1), F.size("p"), width).alias("shape"))
+    raw = images.select("image_id", F.array(output).alias("outputs"), F.lit(None).cast("string").alias("error"), "orig_h", "orig_w", F.lit(640).alias("in_h"), F.lit(640).alias("in_w"), *(F.col(c).cast("float").alias(c) for c in geometry[2:]), F.transform("p", lambda x: x["pred_id"]).alias("ids"))
+    classes = A.head(spark, d).select(F.size("scores")).first()[0]
+    found = decode.detect(explode_head(raw, classes, 0, PAIRS.conf), PAIRS)
+    numbered = found.withColumnRenamed("pred_id", "place").join(raw.select("image_id", "ids"), "image_id").withColumn("pred_id", F.get("ids", F.col("place").cast("int")))
+    return _boxes(numbered)
+
+
 @query(
     f"""WITH {A.HEAD_SQL}, unit AS (SELECT image_id, pred_id, (cx / 640::FLOAT) AS cx, (w / 640::FLOAT) AS w FROM head WHERE image_id % 2 = 0
 UNION ALL SELECT image_id, pred_id, cx, w FROM head WHERE image_id % 2 = 1)
@@ -345,7 +384,7 @@ def denormalized_head(spark: SparkSession, d: str) -> DataFrame:
     return decode.denormalize(unit, A.INPUT, A.INPUT).select("image_id", "pred_id", r("cx").alias("cx"), r("w").alias("w"))
 
 
-# result accessors -------------------------------------------------------------------------------------------------
+# result accessors ----
 
 
 @query(f"WITH RECURSIVE {DETECT_HIGH} SELECT image_id, det_rank, {rs('(x1 + x2) * 0.5::FLOAT')} AS x, {rs('(y1 + y2) * 0.5::FLOAT')} AS y, {rs('x2 - x1')} AS w, {rs('y2 - y1')} AS h FROM clipped")
@@ -360,6 +399,15 @@ def boxes_normalized(spark: SparkSession, d: str) -> DataFrame:
     return b.select("image_id", "det_rank", *(r(G.ratio(F.col(c), F.col(s)), 4).alias(f"{c}n") for c, s in CLIP.items()))
 
 
+_XYWHN = {"xn": "(x1 + x2) * 0.5::FLOAT / orig_w::FLOAT", "yn": "(y1 + y2) * 0.5::FLOAT / orig_h::FLOAT", "wn": "(x2 - x1) / orig_w::FLOAT", "hn": "(y2 - y1) / orig_h::FLOAT"}
+
+
+@query(f"WITH RECURSIVE {DETECT_HIGH} SELECT image_id, det_rank, {', '.join(f'{rs(x, 4)} AS {c}' for c, x in _XYWHN.items())} FROM clipped")
+def boxes_xywhn(spark: SparkSession, d: str) -> DataFrame:
+    b = _dets(spark, d, PAIRS).join(_geometry(spark, d), "image_id").withColumn("b", G.xyxy_to_xywh(*(F.col(c) for c in CLIP)))
+    return b.select("image_id", "det_rank", *(r(G.ratio(F.col(f"b.{c}"), F.col(s)), 4).alias(f"{c}n") for c, s in (("x", "orig_w"), ("y", "orig_h"), ("w", "orig_w"), ("h", "orig_h"))))
+
+
 @query(
     f"WITH RECURSIVE {DETECT_HIGH}, {A.NAMES_SQL} SELECT image_id, det_rank, coalesce(name, cls::VARCHAR) AS name, cls AS class, {rs('conf', 4)} AS confidence, "
     f"{rs('x1 / orig_w::FLOAT', 4)} AS x1, {rs('y1 / orig_h::FLOAT', 4)} AS y1, {rs('x2 / orig_w::FLOAT', 4)} AS x2, {rs('y2 / orig_h::FLOAT', 4)} AS y2 FROM clipped LEFT JOIN names ON class_id = cls"
@@ -408,7 +456,7 @@ def pluralize(spark: SparkSession, d: str) -> DataFrame:
     return c.union(p).union(A.read(spark, d, "nation").select("n_nationkey", "n_name", text.pluralize(F.lower("n_name"))))
 
 
-# classification ---------------------------------------------------------------------------------------------------
+# classification ----
 
 _SOFT_SQL = """soft AS (
   SELECT vec_id AS image_id, list_transform(embedding, lambda v: exp(v::DOUBLE - list_max(embedding)::DOUBLE)) AS e FROM embeddings
@@ -441,7 +489,17 @@ def probs_top5(spark: SparkSession, d: str) -> DataFrame:
     return t.select("image_id", (F.col("k") + 1).alias("k"), F.col("t.idx").cast("int").alias("cls"), r("t.p", 6).alias("conf"))
 
 
-# geometry ---------------------------------------------------------------------------------------------------------
+@query(
+    f"""WITH {_SOFT_SQL}, {A.NAMES_SQL}, each AS (SELECT image_id, unnest(p) AS v, unnest(range(0, 64)) AS i FROM probs),
+best AS (SELECT image_id, v, i::INT AS i, row_number() OVER (PARTITION BY image_id ORDER BY v DESC, i) AS k FROM each)
+SELECT image_id, coalesce(name, i::VARCHAR) AS name, i AS class, {rs('v', 6)} AS confidence FROM best LEFT JOIN names ON class_id = i WHERE k = 1"""
+)
+def probs_summary(spark: SparkSession, d: str) -> DataFrame:
+    rows = results.probs_rows(_probs(spark, d).select("image_id", "probs"), A.names(spark, d))
+    return rows.select("image_id", "name", "class", r("confidence", 6).alias("confidence"))
+
+
+# geometry ----
 
 _SIZES = "sizes AS (SELECT p_partkey AS image_id, (1 + (p_partkey * 131) % 2000)::INT AS h, (1 + (p_partkey * 977) % 3000)::INT AS w FROM part)"
 
@@ -503,7 +561,7 @@ def scale_clip(spark: SparkSession, d: str) -> DataFrame:
     return h.withColumn("b", box).select("image_id", "pred_id", *(r(f"b.{c}").alias(c) for c in CLIP))
 
 
-# planes -----------------------------------------------------------------------------------------------------------
+# planes ----
 
 _PLANES_SQL = """px AS (SELECT vec_id // 4 AS image_id, vec_id % 4 AS cls, unnest(range(0, 64)) AS i, unnest(embedding) AS v FROM embeddings),
 best AS (SELECT image_id, i, cls FROM (SELECT *, row_number() OVER (PARTITION BY image_id, i ORDER BY v DESC, cls) AS k FROM px) WHERE k = 1)"""
@@ -632,7 +690,7 @@ def semantic_resize(spark: SparkSession, d: str) -> DataFrame:
     return p.select("image_id", F.explode(planes.plane_values(m, "<u2")).alias("c")).groupBy("image_id", F.col("c").cast("int").alias("cls")).agg(F.count("*").alias("pixels"))
 
 
-# colors, sources, text --------------------------------------------------------------------------------------------
+# colors, sources, text ----
 
 _HEX = "[" + ", ".join(f"'#{bytes(c).hex().upper()}'" for c in color.COLORS) + "]"
 
@@ -664,6 +722,16 @@ def source_kind(spark: SparkSession, d: str) -> DataFrame:
     return A.uris(spark, d).select("page_id", text.source_kind(F.col("uri")).alias("kind"))
 
 
+@query(
+    f"""WITH {A.URIS_SQL}, k AS (SELECT page_id, CASE WHEN regexp_full_match(uri, '[0-9]+') THEN 'webcam' WHEN regexp_matches(uri, '^https?://') AND {_IMG} THEN 'image_url'
+WHEN regexp_matches(uri, '^(https?|rtsp|rtmp)://') THEN 'stream' WHEN contains(uri, '*') THEN 'glob' WHEN regexp_matches(lower(uri), '\\.({"|".join(text.VIDEO_SUFFIXES)})$') THEN 'video' ELSE 'image' END AS kind FROM uris)
+SELECT page_id, kind IN ('image', 'image_url') AS is_image, kind IN ('video', 'webcam', 'stream') AS is_video, kind = 'glob' AS is_batch FROM k"""
+)
+def kind_flags(spark: SparkSession, d: str) -> DataFrame:
+    kind = text.source_kind(F.col("uri"))
+    return A.uris(spark, d).select("page_id", text.is_image_kind(kind).alias("is_image"), text.is_video_kind(kind).alias("is_video"), text.is_batch_kind(kind).alias("is_batch"))
+
+
 @query(
     f"""WITH {A.FRAMES_SQL} SELECT event_id, CASE WHEN total_frames = 1 THEN split_part(path[7:], '.', 1) ELSE printf('%s_%06d', split_part(path[7:], '.', 1), frame_idx) END AS stem,
 printf('%s_frames/%s_%d.jpg', split_part(path[7:], '.', 1), split_part(path[7:], '.', 1), frame_idx + 1) AS frame FROM frames"""
@@ -679,10 +747,10 @@ def batch_assignment(spark: SparkSession, d: str) -> DataFrame:
     return f.select("event_id", "path", F.floor(F.col("frame_idx") / 8).cast("long").alias("batch"), F.pmod("frame_idx", F.lit(8)).cast("long").alias("slot"))
 
 
-@query(f"SELECT {rs('avg(value)', 4)} AS preprocess, {rs('avg(value * 2)', 4)} AS inference, 0.0::DOUBLE AS postprocess FROM events")
+@query(f"SELECT {rs('avg(value)', 4)} AS preprocess, {rs('avg(value * 2)', 4)} AS forward, 0.0::DOUBLE AS postprocess FROM events")
 def speed_means(spark: SparkSession, d: str) -> DataFrame:
-    e = A.read(spark, d, "events").select(F.col("value").alias("preprocess"), (F.col("value") * 2).alias("inference"), F.lit(None).cast("double").alias("postprocess"))
-    return results.speed_report(e).select(r("preprocess", 4).alias("preprocess"), r("inference", 4).alias("inference"), "postprocess")
+    e = A.read(spark, d, "events").select(F.col("value").alias("preprocess"), (F.col("value") * 2).alias("forward"), F.lit(None).cast("double").alias("postprocess"))
+    return results.speed_report(e).select(r("preprocess", 4).alias("preprocess"), r("forward", 4).alias("forward"), "postprocess")
 
 
 @query("SELECT DISTINCT lower(p_brand) || s || v || '.onnx' AS model, s AS size, CASE v WHEN '' THEN 'detect' ELSE v[2:] END AS variant FROM part, (VALUES ('n'), ('s'), ('m'), ('l'), ('x')) AS a(s), (VALUES (''), ('-seg'), ('-pose'), ('-obb'), ('-cls'), ('-sem'), ('-depth')) AS b(v) WHERE v NOT IN ('-sem', '-depth') OR p_brand = (SELECT max(p_brand) FROM part)")
@@ -727,8 +795,8 @@ def json_payload(spark: SparkSession, d: str) -> DataFrame:
     return named.groupBy("image_id").agg(F.to_json(F.transform(rows, lambda x: x["o"])).alias("payload"))
 
 
-@query()
+@query(f"WITH RECURSIVE {DETECT_HIGH} SELECT {BOX_OUT} FROM clipped")
 def frame_stream(spark: SparkSession, d: str) -> DataFrame:
     from ocellus.streaming.frames import replay
 
-    return replay(A.head(spark, d), PAIRS)
+    return _boxes(replay(A.head(spark, d), PAIRS))

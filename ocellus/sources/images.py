@@ -6,12 +6,13 @@ import os
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ocellus.functions.config import ImageError
 from ocellus.functions.text import IMAGE_SUFFIXES, VIDEO_SUFFIXES, suffix
+from ocellus.sources.sinks import shared_folder
 
 COLUMNS = ("path", "frame_idx", "total_frames", "fps", "image", "error")
 IMAGE = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
@@ -33,13 +34,33 @@ def kind_of(source: str) -> str:
     return "video" if low.rpartition(".")[2] in VIDEO_SUFFIXES else "image"
 
 
-def _numbered(found: DataFrame, image_column: bool = True) -> DataFrame:
-    """Source columns for image files, numbered in the order of their paths."""
-    order = Window.orderBy("path")
-    total = found.count()
-    return found.withColumn("frame_idx", F.row_number().over(order).cast("long") - 1).select(
-        "path", "frame_idx", F.lit(total).cast("long").alias("total_frames"), F.lit(None).cast("float").alias("fps"), "image", F.when(F.col("image.height") <= 0, "cannot decode").alias("error")
-    )
+#: Paths up to which their numbers are broadcast to the images; beyond that both are shuffled by path.
+MAX_BROADCAST = 1_000_000
+
+
+def _plain(path: Column) -> Column:
+    return F.regexp_replace(path, "^file:/+", "/")
+
+
+def _numbered(spark: SparkSession, folder: str, ending: str = "") -> DataFrame:
+    """Source columns for the image files of a folder whose names have the ending, numbered in the order of their paths.
+
+    Paths alone are listed, ranged and numbered, each range from where the one before ends; pixels are not moved for it.
+    """
+    wanted = lambda p: suffix(p).isin(*IMAGE_SUFFIXES) & F.lower(p).endswith(ending.lower())
+    listed = spark.read.format("binaryFile").load(folder).select(_plain(F.col("path")).alias("plain")).filter(wanted(F.col("plain")))
+    shared_folder(spark)
+    ranged = listed.repartitionByRange("plain").withColumn("range", F.spark_partition_id()).checkpoint(eager=True)
+    total, starts = 0, []
+    for r in ranged.groupBy("range").agg(F.count("*").alias("n")).orderBy("range").collect():
+        starts.append((r["range"], total))
+        total += r["n"]
+    starts_ = F.broadcast(spark.createDataFrame(starts, "range int, start long"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("plain")) - 1
+    numbers = ranged.withColumn("place", place).join(starts_, "range").select("plain", (F.col("start") + F.col("place")).alias("frame_idx"))
+    found = _load(spark, folder).filter(wanted(F.col("path"))).withColumn("plain", _plain(F.col("path")))
+    joined = found.join(F.broadcast(numbers) if total <= MAX_BROADCAST else numbers, "plain")
+    return joined.select("path", "frame_idx", F.lit(total).cast("long").alias("total_frames"), F.lit(None).cast("float").alias("fps"), "image", F.when(F.col("image.height") <= 0, "cannot decode").alias("error"))
 
 
 def _load(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
@@ -52,7 +73,7 @@ def read_directory(spark: SparkSession, folder: str) -> DataFrame:
     """The images of a folder, not of folders below it, by path."""
     if not os.path.isdir(folder):
         raise ImageError(f"not a directory: {folder}")
-    return _numbered(_load(spark, folder))
+    return _numbered(spark, folder)
 
 
 def read_glob(spark: SparkSession, pattern: str) -> DataFrame:
@@ -61,16 +82,13 @@ def read_glob(spark: SparkSession, pattern: str) -> DataFrame:
     folder = folder or "."
     if "*" in folder or not name.startswith("*") or "*" in name[1:] or not os.path.isdir(folder):
         raise ImageError(f"pattern must be dir/* or dir/*.ext: {pattern}")
-    found = _load(spark, folder)
-    if name not in ("*", "*.*"):
-        found = found.filter(F.lower("path").endswith(name[1:].lower()))
-    return _numbered(found)
+    return _numbered(spark, folder, "" if name in ("*", "*.*") else name[1:])
 
 
 def read_list(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """The images of a list, in its order."""
     order = spark.createDataFrame([(os.path.abspath(p) if "://" not in p else p, k) for k, p in enumerate(paths)], "listed string, frame_idx long")
-    found = _load(spark, list(paths)).withColumn("plain", F.regexp_replace("path", "^file:/+", "/"))
+    found = _load(spark, list(paths)).withColumn("plain", _plain(F.col("path")))
     joined = order.join(found, F.col("plain") == F.col("listed"), "left")
     return joined.select(
         F.coalesce("path", "listed").alias("path"), "frame_idx", F.lit(len(paths)).cast("long").alias("total_frames"), F.lit(None).cast("float").alias("fps"), "image",

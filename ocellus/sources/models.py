@@ -10,6 +10,7 @@ import zlib
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
+from time import perf_counter
 
 import numpy as np
 import pyarrow as pa
@@ -219,43 +220,73 @@ def input_size(path: str, config: InferenceConfig) -> tuple[int, int]:
     return size
 
 
-def _rgb(image: Mapping) -> np.ndarray:
+def rgb_of(image: Mapping) -> np.ndarray:
     a = np.frombuffer(image["data"], np.uint8).reshape(image["height"], image["width"], image["nChannels"])
     if image["nChannels"] == 1:
         return np.repeat(a, 3, axis=2)
     return a[:, :, 2::-1]
 
 
+def output_shapes(path: str, config: InferenceConfig) -> list[list[int]]:
+    """The shapes of the outputs for one image: as the file states them, or else as a dry run over zeros shows them.
+
+    The dry run warms the session up as well. Without one that succeeds there are no shapes.
+    """
+    s = session(path)
+    stated = [list(o.shape) for o in s.get_outputs()]
+    if all(isinstance(d, int) for shape in stated for d in shape[1:]):
+        return [[1, *shape[1:]] for shape in stated]
+    feed = s.get_inputs()[0]
+    h, w = input_size(path, config)
+    one = feed.shape[0] if isinstance(feed.shape[0], int) else 1
+    try:
+        got = s.run(None, {feed.name: np.zeros((one, 3, h, w), np.float16 if feed.type == "tensor(float16)" else np.float32)})
+    except Exception:  # a model that takes no such image says so when it is run
+        return []
+    return [[1, *g.shape[1:]] for g in got]
+
+
 OUTPUT = "path string, frame_idx long, orig_h int, orig_w int, in_h int, in_w int, scale float, pad_top float, pad_left float, outputs array<struct<data:binary,shape:array<int>>>, error string"
 
 
+#: Milliseconds of an image: its own preparation, and its share of the batch that it ran in.
+TIMINGS = "preprocess double, forward double"
+
+
 def forward(images: DataFrame, model_path: str, config: InferenceConfig | None = None, task: str | None = None, batch: int = 8) -> DataFrame:
-    """Runs a model over images (path, frame_idx, image): one row an image with its raw outputs and its geometry.
+    """Runs a model over images (path, frame_idx, image): one row an image with its raw outputs, its geometry and its timings.
 
-    Images of one size inside an Arrow batch are stacked up to `batch`. An image that cannot be prepared or run gets a
+    A model that takes any size gets rectangles (config.rect): as few multiples of the stride as hold the fitted image.
+    Images of one input size inside an Arrow batch are stacked up to `batch`. An image that cannot be prepared or run gets a
     reason in error and no outputs; the others go on.
     """
     config = config or InferenceConfig()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = session(model_path)
-        kind = task or metadata_from_map(s.get_modelmeta().custom_metadata_map).task
-        in_h, in_w = input_size(model_path, config)
+        own = metadata_from_map(s.get_modelmeta().custom_metadata_map)
+        kind = task or own.task
+        full_h, full_w = input_size(model_path, config)
         feed = s.get_inputs()[0]
+        rect = config.rect and kind != "classify" and not any(isinstance(x, int) for x in feed.shape[2:4])
         half = feed.type == "tensor(float16)"
         most = feed.shape[0] if isinstance(feed.shape[0], int) else batch
         for rows in batches:
             out: list[dict] = [{} for _ in range(rows.num_rows)]
             ready: list[tuple[int, np.ndarray]] = []
             for k, row in enumerate(rows.to_pylist()):
-                image = row["image"]
+                image, began = row["image"], perf_counter()
+                in_h, in_w = full_h, full_w
+                if rect and image and image["height"] > 0 and image["width"] > 0:
+                    in_h, in_w = planes.rect_extents(image["height"], image["width"], full_h, full_w, own.stride)
                 out[k] = {"path": row["path"], "frame_idx": row["frame_idx"], "orig_h": image and image["height"], "orig_w": image and image["width"], "in_h": in_h, "in_w": in_w}
                 try:
-                    rgb = _rgb(image)
+                    rgb = rgb_of(image)
                     scale, _, _, top, left = planes.letterbox_geometry(*rgb.shape[:2], in_h, in_w)
                     out[k] |= {"scale": scale, "pad_top": float(top), "pad_left": float(left)}
                     tensor = planes.center_crop_tensor(rgb, in_h) if kind == "classify" else planes.letterbox_tensor(rgb, in_h, in_w)
                     ready.append((k, tensor.astype(np.float16) if half else tensor))
+                    out[k]["preprocess"] = 1000 * (perf_counter() - began)
                 except Exception as bad:
                     out[k]["error"] = f"{type(bad).__name__}: {bad}"
 
@@ -264,10 +295,13 @@ def forward(images: DataFrame, model_path: str, config: InferenceConfig | None =
                     full = np.stack([t for _, t in group])
                     if isinstance(feed.shape[0], int) and len(full) < most:
                         full = np.concatenate([full, np.zeros((most - len(full), *full.shape[1:]), full.dtype)])
+                    began = perf_counter()
                     got = s.run(None, {feed.name: full})
+                    took = 1000 * (perf_counter() - began) / len(group)
                     for n, (k, _) in enumerate(group):
-                        own = [g[n : n + 1] for g in got]
-                        out[k]["outputs"] = [{"data": (g if g.dtype == np.uint8 else g.astype("<f4")).tobytes(), "shape": list(g.shape)} for g in own]
+                        mine = [g[n : n + 1] for g in got]
+                        out[k]["outputs"] = [{"data": (g if g.dtype == np.uint8 else g.astype("<f4")).tobytes(), "shape": list(g.shape)} for g in mine]
+                        out[k]["forward"] = took
                 except Exception as bad:
                     if len(group) > 1:  # one bad image shall not take the others along
                         for one in group:
@@ -275,16 +309,20 @@ def forward(images: DataFrame, model_path: str, config: InferenceConfig | None =
                     else:
                         out[group[0][0]]["error"] = f"{type(bad).__name__}: {bad}"
 
-            for a in range(0, len(ready), most):
-                go(ready[a : a + most])
+            sizes: dict[tuple[int, ...], list[tuple[int, np.ndarray]]] = {}
+            for one in ready:
+                sizes.setdefault(one[1].shape, []).append(one)
+            for same in sizes.values():
+                for a in range(0, len(same), most):
+                    go(same[a : a + most])
             yield pa.RecordBatch.from_pylist(out, schema=_OUTPUT_ARROW)
 
-    return images.select("path", "frame_idx", "image").mapInArrow(run, OUTPUT)
+    return images.select("path", "frame_idx", "image").mapInArrow(run, f"{OUTPUT}, {TIMINGS}")
 
 
 _OUTPUT_ARROW = pa.schema(
     [("path", pa.string()), ("frame_idx", pa.int64()), *((c, pa.int32()) for c in ("orig_h", "orig_w", "in_h", "in_w")), *((c, pa.float32()) for c in ("scale", "pad_top", "pad_left"))]
-    + [("outputs", pa.list_(pa.struct([("data", pa.binary()), ("shape", pa.list_(pa.int32()))]))), ("error", pa.string())]
+    + [("outputs", pa.list_(pa.struct([("data", pa.binary()), ("shape", pa.list_(pa.int32()))]))), ("error", pa.string()), ("preprocess", pa.float64()), ("forward", pa.float64())]
 )
 
 

@@ -14,9 +14,14 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, from spark.checkpoint.dir; a temporary one only where the session names none."""
+    """The cluster's shared folder, from spark.checkpoint.dir. Only a session in one process, as in tests, may name none and get a temporary one."""
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return named or tempfile.mkdtemp(prefix="ocellus-")
+    if not named and not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    named = named or tempfile.mkdtemp(prefix="ocellus-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named)
+    return named
 
 
 def next_run(base: str, name: str = "predict") -> str:

@@ -59,4 +59,7 @@ def replay(head: DataFrame, config: InferenceConfig, files: int = 4) -> DataFram
     base = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
     head.repartition(files, "image_id").write.parquet(f"{base}/in")
     detect_stream(head_stream(spark, f"{base}/in", head.schema), config, f"{base}/out", f"{base}/state").awaitTermination()
-    return spark.read.parquet(f"{base}/out").drop("batch_id")
+    out = spark.read.parquet(f"{base}/out").drop("batch_id").checkpoint(eager=True)
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ocellus.functions.config import ImageError, InferenceConfig, ModelLoadError
 from ocellus.operators import decode, nms, planes, render, results
-from ocellus.plans.engine import Engine
+from ocellus.plans.engine import Engine, mask_bounds
 from ocellus.plans.queries import ORACLES, QUERIES
 from ocellus.sources import adapters, images, models, sinks
 from ocellus.streaming import frames
@@ -248,7 +248,7 @@ def test_forward_pass(spark, folder, tmp_path):
     with open(path, "rb") as f:
         assert models.onnx_metadata(f.read()).imgsz == (32, 32)
     source = images.read(spark, folder)
-    rows = models.forward(source, path).orderBy("frame_idx").collect()
+    rows = models.forward(source, path, InferenceConfig(rect=False)).orderBy("frame_idx").collect()
     assert [r.error is None for r in rows] == [True, True, True, False]
     assert all(list(r.outputs[0].shape) == [1, 3, 32, 32] for r in rows[:3])
     first = np.frombuffer(rows[0].outputs[0].data, "<f4").reshape(3, 32, 32)
@@ -282,10 +282,75 @@ def test_engine_decodes_by_task(spark, tmp_path):
     assert np.allclose(classify.postprocess(raw(np.array([[0.2, 0.8]]))).first().probs, (0.2, 0.8))
     final = Engine(spark, identity_model(str(tmp_path / "e.onnx"), {"task": "detect", "end2end": "True"}))
     assert final.postprocess(raw(np.array([[[1, 1, 9, 9, 0.9, 3], [1, 1, 9, 9, 0.1, 3]]]))).count() == 1
+    turned = Engine(spark, identity_model(str(tmp_path / "o.onnx"), {"task": "obb", "end2end": "True"}))
+    row = turned.postprocess(raw(np.array([[[10, 20, 8, 4, 0.9, 2, 0.5], [10, 20, 8, 4, 0.1, 2, 0.5]]]))).first()
+    assert (row.cx, row.cy, row.w, row.h, row.angle, row.cls) == (10, 20, 8, 4, 0.5, 2)
     sem = Engine(spark, identity_model(str(tmp_path / "s.onnx"), {"task": "semantic"}))
+    baked = sem.postprocess(spark.createDataFrame([(0, "p", 0, 2, 2, 2, 2, 1.0, 0.0, 0.0, [(bytearray([0, 5, 3, 7]), [1, 2, 2])], None)], schema)).first()
+    assert np.frombuffer(baked.classes, "<u2").tolist() == [0, 5, 3, 7]
     assert set(np.frombuffer(sem.postprocess(raw(np.stack([np.zeros((8, 8)), np.ones((8, 8))])[None])).first().classes, "<u2")) == {1}
 
 
+def test_layout_from_shapes(spark, tmp_path):
+    engine = Engine(spark, identity_model(str(tmp_path / "m.onnx"), {"task": "detect"}))
+    assert engine.shapes == [[1, 3, 640, 640]]
+    for task, shapes, want in (("detect", [[1, 300, 6]], True), ("detect", [[1, 84, 8400]], False), ("obb", [[1, 300, 7]], True), ("pose", [[1, 300, 57]], True), ("segment", [[1, 300, 38], [1, 32, 160, 160]], True), ("segment", [[1, 116, 8400], [1, 32, 160, 160]], False)):
+        engine.task, engine.shapes = task, shapes
+        assert engine.layout()[0] == want
+    assert engine.layout()[1:3] == (80, 32)
+
+
+def test_rectangles(spark, tmp_path):
+    path = identity_model(str(tmp_path / "r.onnx"), {"task": "detect", "imgsz": "[64, 64]"})
+    source = images.from_arrays(spark, [np.zeros((20, 40, 3), np.uint8), np.zeros((40, 40, 3), np.uint8), np.zeros((20, 40, 3), np.uint8)])
+    rows = models.forward(source, path).orderBy("frame_idx").collect()
+    assert [list(r.outputs[0].shape) for r in rows] == [[1, 3, 32, 64], [1, 3, 64, 64], [1, 3, 32, 64]]
+    assert all(r.in_h == s.outputs[0].shape[2] and r.preprocess >= 0 and r.forward >= 0 for r, s in zip(rows, rows))
+
+
+def test_masks_from_the_engine(spark, tmp_path):
+    engine = Engine(spark, identity_model(str(tmp_path / "g.onnx"), {"task": "segment", "names": "{0: 'a'}"}), InferenceConfig(conf=0.5))
+    engine.shapes = [[1, 7, 3], [1, 2, 8, 8]]
+    head_ = np.array([[16, 16, 16, 16, 0.9, 4, 0], [48, 48, 16, 16, 0.8, 0, 4], [48, 48, 16, 16, 0.1, 0, 4]], np.float32)
+    protos = np.stack([np.full((8, 8), 2.0), np.full((8, 8), -2.0)]).astype(np.float32)
+    out = [(bytearray(a.astype("<f4").tobytes()), list(a.shape)) for a in (head_[None], protos[None])]
+    raw = spark.createDataFrame([(0, "p", 0, 64, 64, 64, 64, 1.0, 0.0, 0.0, out, None)], f"image_id long, {models.OUTPUT}")
+    dets = engine.postprocess(raw)
+    masks = engine.masks(raw, dets).orderBy("det_rank").collect()
+    want = planes.instance_masks(head_[:2, 5:], protos, np.array([[8, 8, 24, 24], [40, 40, 56, 56]], np.float32), 64, 64, 64, 64, 0.0, 0.0)
+    assert [r.det_rank for r in masks] == [0, 1] and all(np.allclose(np.frombuffer(r.mask, "<f4").reshape(64, 64), w) for r, w in zip(masks, want))
+    bounds = {r.det_rank: (r.area, r.x1, r.y2) for r in mask_bounds(engine.masks(raw, dets)).collect()}
+    assert bounds == {0: (17 * 17, 8, 24), 1: (0, None, None)}
+    source = images.from_arrays(spark, [np.zeros((64, 64, 3), np.uint8)], ["one.jpg"])
+    drawn = engine.annotate(source, dets, engine.masks(raw, dets)).first()
+    assert drawn.png[:4] == b"\x89PNG" and drawn.labels == [" a 0.90 ", " a 0.80 "]
+    run = engine.save(source, dets, str(tmp_path / "runs"))
+    assert os.listdir(run) == ["one.png"] and run.endswith("predict")
+    assert Engine(spark, engine.model, InferenceConfig(save=False)).save(source, dets, str(tmp_path / "runs")) is None
+
+
+def test_end_to_end_and_what_is_said(spark, folder, tmp_path):
+    engine = Engine(spark, identity_model(str(tmp_path / "e.onnx"), {"task": "semantic", "imgsz": "[32, 32]"}))
+    source = engine.read(folder)
+    raw = engine.raw(source)
+    found = engine.postprocess(raw)
+    run = engine.save(source, found, str(tmp_path / "runs"))
+    maps = sorted(os.listdir(os.path.join(run, "maps")))
+    assert len(maps) == 3 and all(m.endswith(".png") for m in maps) and engine.unreadable(source) == 1
+    assert engine.speed(raw).first().forward > 0
+    boxes = Engine(spark, identity_model(str(tmp_path / "f.onnx"), {"task": "detect", "imgsz": "[32, 32]", "names": "{0: 'a'}"}))
+    none = spark.createDataFrame([], "image_id long, det_rank long, cls int")
+    lines = [r.line for r in boxes.lines(source, boxes.raw(source), none).orderBy("image_id").collect()]
+    assert len(lines) == 3 and lines[0].startswith("image 1/4 ") and "(no detections)" in lines[0]
+
+
+def test_folders_are_numbered_without_one_task(spark, folder):
+    df = images.read_directory(spark, folder)
+    rows = df.select("path", "frame_idx").orderBy("frame_idx").collect()
+    assert [r.frame_idx for r in rows] == list(range(len(rows))) and [r.path for r in rows] == sorted(r.path for r in rows)
+    assert "SinglePartition" not in df._jdf.queryExecution().toString()
+
+
 def test_sinks(spark, tmp_path):
     assert sinks.next_run(str(tmp_path)).endswith("predict") and sinks.next_run(str(tmp_path)).endswith("predict2")
     assert sinks.is_writable(str(tmp_path)) and not sinks.is_writable(str(tmp_path / "no"))
