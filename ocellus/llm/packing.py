@@ -145,9 +145,11 @@ def _merge(capacity: int, last: bool):
             used = group.column("used").to_numpy().astype(np.int64)
             lists = [group.column(c).combine_chunks() for c in _LISTS]
             lists = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in lists]
-            ids = lists[0].to_pylist()
+            ids = [[(x is None, x or 0) for x in own] for own in lists[0].to_pylist()]
             starts = lists[1].to_pylist()
-            order = np.array(sorted(range(len(used)), key=lambda k: (-used[k], [(x is None, x or 0) for x in ids[k]], starts[k])))
+            own = np.array(sorted(range(len(used)), key=lambda k: (ids[k], starts[k])))  # the same in every run, however rows came
+            used, lists = used[own], [c.take(pa.array(own)) for c in lists]
+            order = np.argsort(-used, kind="stable")
             yield _bins(group.column("part")[0].as_py(), used, order, lists, capacity, last)
 
     return run

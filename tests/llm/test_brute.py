@@ -226,9 +226,9 @@ def test_packing_of_one_part_by_hand(spark):
         items += [(min(32, n - a), k, a) for a in range(0, n, 32)]
     first = pack_by_hand(items, 32)
     full = lambda b, of: sum(of[i][0] for i in b) >= 32 * packing.FULL
-    want = [[items[i] for i in b] for b in first if full(b, items)]
+    want = [[items[i] for i in sorted(b)] for b in first if full(b, items)]  # a sequence holds its items in their own order
     rest = [sorted(b) for b in first if not full(b, items)]
-    rest.sort(key=lambda b: b[0])
+    rest.sort(key=lambda b: ([items[i][1] for i in b], [items[i][2] for i in b]))
     again = [(sum(items[i][0] for i in b), [items[i][1] for i in b], [items[i][2] for i in b]) for b in rest]
     want += [[items[i] for j in sorted(b) for i in rest[j]] for b in pack_by_hand(again, 32)]
     assert sorted([list(zip(r.lengths, r.doc_ids, r.starts)) for r in got]) == sorted(want)
