@@ -124,6 +124,15 @@ def crop_bounds(plane_h: Column, plane_w: Column, height: Column, width: Column)
     return F.when((h > 0) & (w > 0), F.struct(top.alias("top"), left.alias("left"), h.alias("h"), w.alias("w")))
 
 
+#: Confidence from which a keypoint counts as seen.
+VISIBLE = 0.25
+
+
+def visible(x: Column, y: Column, conf: Column, height: Value, width: Value) -> Column:
+    """Whether a keypoint is sure enough and strictly inside the image; one without a confidence is sure."""
+    return (F.coalesce(conf, F.lit(1.0).cast("float")) >= f32(VISIBLE)) & (x > 0) & (x < width) & (y > 0) & (y < height)
+
+
 def corners(cx: Column, cy: Column, w: Column, h: Column, angle: Column) -> Column:
     """array of struct(x, y): the corners of a rotated box, from the one that is top left before the turn, clockwise."""
     c, s = F.cos(angle.cast("double")), F.sin(angle.cast("double"))

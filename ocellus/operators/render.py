@@ -10,9 +10,9 @@ from collections.abc import Mapping, Sequence
 import numpy as np
 
 from ocellus.functions.color import COLORS, KEYPOINT_COLORS, LIMB_COLORS, LIMBS, POSE_COLORS
+from ocellus.functions.geometry import VISIBLE
 from ocellus.operators.planes import IGNORE, blend_depth
 
-VISIBLE = 0.25
 MASK_ALPHA = 0.3
 SEGMENT_OVERLAY, SEMANTIC_OVERLAY = 140, 128
 

@@ -255,9 +255,22 @@ class Engine:
         return self.postprocess(self.raw(source if isinstance(source, DataFrame) else self.read(source)))
 
     def summarize(self, source, predictions: DataFrame) -> DataFrame:
-        """(image_id, summary) of every image, for tasks with boxes."""
+        """(image_id, summary) of every image."""
         every = source.select(F.col("frame_idx").alias("image_id"))
-        return results.describe(every, predictions, self.names)
+        if self.task not in ("classify", "semantic", "depth"):
+            return results.describe(every, predictions, self.names)
+        named = self.metadata.names
+        names = F.create_map(*(F.lit(x) for pair in sorted(named.items()) for x in pair)) if named else F.create_map().cast("map<int,string>")
+        text = dict.fromkeys(("semantic", "depth", "probs"), F.lit(None).cast("string"))
+        if self.task == "classify":
+            text["probs"] = results.describe_probs(F.col("probs"), names)
+        elif self.task == "depth":
+            text["depth"] = results.describe_depth(planes.plane_values(F.col("depth")).cast("array<float>"))
+        else:
+            text["semantic"] = results.describe_mask(planes.plane_values(F.col("classes"), "<u2").cast("array<int>"), names)
+        nothing = F.lit(None).cast("string")
+        told = predictions.select("image_id", results.describe_any(text["semantic"], text["depth"], nothing, nothing, text["probs"]).alias("summary"))
+        return every.join(told, "image_id", "left").withColumn("summary", F.coalesce("summary", F.lit(results.NOTHING)))
 
     def summary(self, predictions: DataFrame) -> DataFrame:
         """Summary rows: a box each, or the best class of an image."""

@@ -16,6 +16,7 @@ from ocellus.functions import vectors as V
 from ocellus.functions.config import InferenceConfig
 from ocellus.operators import decode, planes, results
 from ocellus.sources import adapters as A
+from ocellus.sources import sinks
 
 CONF = InferenceConfig(conf=0.25, iou=0.45, max_det=300)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -307,7 +308,7 @@ def kpts_normalized(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_POSE} SELECT image_id, count(*) AS visible FROM ({_KPT}) WHERE extra[kpt * 3 + 3] >= 0.25::FLOAT AND {_KX} > 0 AND {_KX} < 640 AND {_KY} > 0 AND {_KY} < 480 GROUP BY image_id")
 def kpts_visible(spark: SparkSession, d: str) -> DataFrame:
-    k = _keypoints(spark, d).filter((F.col("conf") >= G.f32(0.25)) & (F.col("x") > 0) & (F.col("x") < 640) & (F.col("y") > 0) & (F.col("y") < 480))
+    k = _keypoints(spark, d).filter(G.visible(F.col("x"), F.col("y"), F.col("conf"), 480, 640))
     return k.groupBy("image_id").agg(F.count("*").alias("visible"))
 
 
@@ -791,8 +792,7 @@ def draw_labels(spark: SparkSession, d: str) -> DataFrame:
 )
 def json_payload(spark: SparkSession, d: str) -> DataFrame:
     named = results.with_names(_dets(spark, d, PAIRS), A.names(spark, d), "")
-    rows = F.array_sort(F.collect_list(F.struct("det_rank", F.struct("name", F.col("cls").alias("class"), F.col("det_rank").alias("rank")).alias("o"))))
-    return named.groupBy("image_id").agg(F.to_json(F.transform(rows, lambda x: x["o"])).alias("payload"))
+    return sinks.ranked_payload(named, "payload", **{"name": F.col("name"), "class": F.col("cls"), "rank": F.col("det_rank")})
 
 
 @query(f"WITH RECURSIVE {DETECT_HIGH} SELECT {BOX_OUT} FROM clipped")

@@ -90,11 +90,16 @@ def payload(**parts: Column) -> Column:
     return F.to_json(F.struct(*(c.alias(k) for k, c in parts.items())))
 
 
+def ranked_payload(dets: DataFrame, out: str, **parts: Column) -> DataFrame:
+    """(image_id, out): what parts says of each detection of an image, as a JSON array in rank order."""
+    rows = F.array_sort(F.collect_list(F.struct("det_rank", F.struct(*(c.alias(k) for k, c in parts.items())).alias("o"))))
+    return dets.groupBy("image_id").agg(F.to_json(F.transform(rows, lambda r: r["o"])).alias(out))
+
+
 def box_payload(dets: DataFrame, name: str = "name", color: str = "color") -> DataFrame:
     """(image_id, boxes): the boxes of an image as a JSON array in rank order, with their names and colors."""
-    one = F.struct("x1", "y1", "x2", "y2", "conf", "cls", F.col(name).alias("name"), F.col(color).alias("color"))
-    rows = F.array_sort(F.collect_list(F.struct("det_rank", one.alias("box"))))
-    return dets.groupBy("image_id").agg(F.to_json(F.transform(rows, lambda r: r["box"])).alias("boxes"))
+    own = {c: F.col(c) for c in ("x1", "y1", "x2", "y2", "conf", "cls")}
+    return ranked_payload(dets, "boxes", **own, name=F.col(name), color=F.col(color))
 
 
 def keypoint_payload(poses: DataFrame) -> DataFrame:

@@ -338,6 +338,8 @@ def test_end_to_end_and_what_is_said(spark, folder, tmp_path):
     maps = sorted(os.listdir(os.path.join(run, "maps")))
     assert len(maps) == 3 and all(m.endswith(".png") for m in maps) and engine.unreadable(source) == 1
     assert engine.speed(raw).first().forward > 0
+    said = {r.image_id: r.summary for r in engine.summarize(source, found).collect()}
+    assert len(said) == 4 and said[3] == "(no detections)" and set(said[0].split(", ")) <= {"unknown"}
     boxes = Engine(spark, identity_model(str(tmp_path / "f.onnx"), {"task": "detect", "imgsz": "[32, 32]", "names": "{0: 'a'}"}))
     none = spark.createDataFrame([], "image_id long, det_rank long, cls int")
     lines = [r.line for r in boxes.lines(source, boxes.raw(source), none).orderBy("image_id").collect()]
