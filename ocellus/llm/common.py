@@ -178,5 +178,5 @@ def grouped_batches(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Itera
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """df marked for broadcast if it has at most `rows` rows; beyond that the planner joins it by shuffling."""
+    """df, which is kept already (it is read twice), marked for broadcast if it has at most `rows` rows; beyond that the planner joins it by shuffling."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernels as K
-from .common import prepare, small
+from .common import cut, prepare, small
 
 SAMPLE = 1000
 BITS = 16
@@ -91,7 +91,7 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL")
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = light.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample).select("doc_id").distinct()
-    counted = light.join(small(chosen, 200 * sample), "doc_id").select("lang", "text").mapInArrow(_count, "lang string, bucket int, n long")
+    counted = light.join(small(cut(chosen), 200 * sample), "doc_id").select("lang", "text").mapInArrow(_count, "lang string, bucket int, n long")
     rows = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     lang = np.array(rows.column("lang").to_pylist(), dtype=object)
     languages = sorted(set(lang))
