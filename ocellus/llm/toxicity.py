@@ -6,8 +6,8 @@ Grades are 0 (not toxic) and, among the toxic, 1 (mild) and 2 (severe); labels t
 graded by the number of different toxic features, above its median or not. The result is the expected grade.
 
 Fitting uses a bounded sample of the labelled documents (SAMPLE of either class, those with the smallest hashes of
-doc_id). Features are those that the sample ties to either class (|z| >= MIN_Z, in MIN_DOCS documents at least, the
-MAX_FEATURES strongest). They are kept as exact hashes, not as buckets: rare words cannot collide with them.
+doc_id). Features are those that the sample ties to either class (|z| >= min_z, in min_docs documents at least, the
+max_features strongest; parameters of the fit, MIN_Z, MIN_DOCS and MAX_FEATURES unless given). They are kept as exact hashes, not as buckets: rare words cannot collide with them.
 """
 
 from __future__ import annotations
@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import prepare, small, stable_sample
+from .common import cut, prepare, small, stable_sample
 
-SAMPLE = 2500
+SAMPLE = 4000
 MIN_DOCS = 4
 MIN_Z = 5.0
 MAX_FEATURES = 8192
@@ -84,7 +84,7 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score[:, None], -40, 40)))
 
 
-def fit(sets: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, grade: np.ndarray | None = None) -> Model:
+def fit(sets: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, grade: np.ndarray | None = None, max_features: int = MAX_FEATURES, min_docs: int = MIN_DOCS, min_z: float = MIN_Z) -> Model:
     """Fits the model to documents given as sets of hashes. weight: what each document counts. grade: 0, 1, 2, if known."""
     empty = Model(np.zeros(0, np.uint64), np.zeros(0), np.array([8.0, 16.0]))
     if not len(sets) or toxic.all() or not toxic.any():
@@ -95,9 +95,9 @@ def fit(sets: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, grade: np
     k = np.bincount(feature, weights=toxic[doc], minlength=len(keys))
     p = toxic.mean()
     z = (k - n * p) / np.sqrt(np.maximum(n * p * (1 - p), 1e-9))
-    strong = np.where(n >= MIN_DOCS, np.abs(z), 0.0)
-    chosen = np.sort(np.argsort(-strong, kind="stable")[:MAX_FEATURES])
-    chosen = chosen[strong[chosen] >= MIN_Z]
+    strong = np.where(n >= min_docs, np.abs(z), 0.0)
+    chosen = np.sort(np.argsort(-strong, kind="stable")[:max_features])
+    chosen = chosen[strong[chosen] >= min_z]
     if not len(chosen):
         return empty
     number = np.full(len(keys), -1)
@@ -135,21 +135,21 @@ def fit(sets: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, grade: np
     return Model(keys[chosen], w, np.array([theta, theta + np.exp(gap)]))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on at most `sample` toxic and as many other labelled documents; their true shares are restored by weights."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **bounds: float) -> Model:
+    """Fits on at most `sample` toxic and as many other labelled documents; their true shares are restored by weights. bounds: of fit()."""
     prepare(docs.sparkSession)
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)")
     share = {r["toxic"]: r["n"] for r in lab.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = stable_sample(lab.filter("toxic = 1"), "doc_id", sample).union(stable_sample(lab.filter("toxic = 0"), "doc_id", sample))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
-    rows = texts.join(small(chosen, 2 * sample), "doc_id").select("toxic", "text").mapInArrow(_hash_sets, "toxic int, features binary").toArrow()
+    rows = texts.join(small(cut(chosen), 2 * sample), "doc_id").select("toxic", "text").mapInArrow(_hash_sets, "toxic int, features binary").toArrow()
     toxic = rows.column("toxic").to_numpy().astype(np.int64)
     sets = [np.frombuffer(x, np.uint64) for x in rows.column("features").to_pylist()]
     order = sorted(range(len(sets)), key=lambda i: (toxic[i], sets[i].tobytes()))  # the same in every run
     toxic, sets = toxic[order], [sets[i] for i in order]
     n = np.bincount(toxic, minlength=2)
     weight = np.array([share.get(k, 0) / max(1, n[k]) for k in (0, 1)])[toxic] if len(toxic) else np.zeros(0)
-    return fit(sets, toxic, weight)
+    return fit(sets, toxic, weight, **bounds)
 
 
 def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:

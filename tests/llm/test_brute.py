@@ -58,8 +58,7 @@ def test_toxicity_fit_follows_the_likelihood(monkeypatch):
     sets = [np.array(sorted({int(x) for x in rng.integers(100, 130, 4)} | set(range(1, 1 + 3 * g))), np.uint64) for g in grade]
     weight = rng.random(60) + 0.5
     monkeypatch.setattr(toxicity, "STEPS", 4)
-    monkeypatch.setattr(toxicity, "MIN_Z", 1.0)
-    model = toxicity.fit(sets, (grade > 0).astype(int), weight, grade)
+    model = toxicity.fit(sets, (grade > 0).astype(int), weight, grade, min_z=1.0)
     column = {int(k): j for j, k in enumerate(model.keys)}
     has = np.zeros((60, len(column)))
     for i, s in enumerate(sets):
