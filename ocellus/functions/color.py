@@ -7,26 +7,64 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _palette(codes: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(codes), np.uint8).reshape(-1, 3)
+def _palette(colors: list[str]) -> np.ndarray:
+    return np.array([list(bytes.fromhex(c[1:])) for c in colors], np.uint8)
 
 
-COLORS = _palette("042aff0bdbebf3f3f300dfb7111f68ff6fddff444fcced0000f344bd00ff00b4ffdd00ba00ffff26c00001ffb37d24ff7b0068ff1b6cfc6d2fa2ff0b")
-POSE_COLORS = _palette("ff8000ff9933ffb266e6e600ff99ff99ccffff66ffff33ff66b2ff3399ffff9999ff6666ff333399ff9966ff6633ff3300ff000000ffff0000ffffff")
-SPECTRAL = _palette("5e4fa23387bc66c2a5aadca4e6f598fffebefee08bfdad60f46d43d43d4f9e0142")
-#: Limbs as pairs of keypoints, in base 36, and the palette entries of limbs and keypoints.
-LIMBS = [(int(a, 36), int(b, 36)) for a, b in "fd db ge ec bc 5b 6c 56 57 68 79 8a 12 01 02 13 24 35 46".split()]
-LIMB_COLORS = [int(c, 36) for c in "000077799999ggggggg"]
-KEYPOINT_COLORS = [int(c, 36) for c in "ggggg999999000000"]
+#: Class colors, in the order in which common viewers of such models use them, so that pictures look alike.
+COLORS = _palette(
+    [
+        "#042aff", "#0bdbeb", "#f3f3f3", "#00dfb7", "#111f68", "#ff6fdd", "#ff444f", "#cced00", "#00f344", "#bd00ff",
+        "#00b4ff", "#dd00ba", "#00ffff", "#26c000", "#01ffb3", "#7d24ff", "#7b0068", "#ff1b6c", "#fc6d2f", "#a2ff0b",
+    ]
+)
+#: Colors that limbs and keypoints refer to.
+POSE_COLORS = _palette(
+    [
+        "#ff8000", "#ff9933", "#ffb266", "#e6e600", "#ff99ff", "#99ccff", "#ff66ff", "#ff33ff", "#66b2ff", "#3399ff",
+        "#ff9999", "#ff6666", "#ff3333", "#99ff99", "#66ff66", "#33ff33", "#00ff00", "#0000ff", "#ff0000", "#ffffff",
+    ]
+)
+#: The eleven-class diverging scheme "Spectral" of ColorBrewer, from blue to red.
+SPECTRAL = _palette(
+    [
+        "#5e4fa2", "#3387bc", "#66c2a5", "#aadca4", "#e6f598", "#fffebe", "#fee08b", "#fdad60", "#f46d43", "#d43d4f",
+        "#9e0142",
+    ]
+)
+#: The limbs of the 17-point skeleton of COCO, by the places of their ends.
+LIMBS = [
+    (15, 13),
+    (13, 11),
+    (16, 14),
+    (14, 12),
+    (11, 12),
+    (5, 11),
+    (6, 12),
+    (5, 6),
+    (5, 7),
+    (6, 8),
+    (7, 9),
+    (8, 10),
+    (1, 2),
+    (0, 1),
+    (0, 2),
+    (1, 3),
+    (2, 4),
+    (3, 5),
+    (4, 6),
+]
+#: Entries of POSE_COLORS for legs, trunk, arms and head; for head, arms and legs.
+LIMB_COLORS = [0] * 4 + [7] * 3 + [9] * 5 + [16] * 7
+KEYPOINT_COLORS = [16] * 5 + [9] * 6 + [0] * 6
 DEPTH_ALPHA = 0.6
 COLORMAPS = ("inferno", "jet", "spectral", "gray")
-#: Coefficients of the inferno polynomials, a row a channel, constant term first.
-_INFERNO = (
-    "2.189404e-4 .1065134 11.60249 -41.704 77.16294 -71.31943 25.13113",
-    "1.651005e-3 .5639564 -3.972854 17.4364 -33.40236 32.62606 -12.24267",
-    "-1.94809e-2 3.932712 -15.94239 44.35415 -81.80731 73.20952 -23.07032",
-)
-INFERNO = [[float(x) for x in row.split()] for row in _INFERNO]
+#: Polynomials that fit the "inferno" colormap of matplotlib, a row a channel, constant term first.
+INFERNO = [
+    [0.0002189404, 0.1065134, 11.60249, -41.704, 77.16294, -71.31943, 25.13113],
+    [0.001651005, 0.5639564, -3.972854, 17.4364, -33.40236, 32.62606, -12.24267],
+    [-0.0194809, 3.932712, -15.94239, 44.35415, -81.80731, 73.20952, -23.07032],
+]
 
 
 def hex_color(index: Column, palette: np.ndarray = COLORS) -> Column:
