@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of one Arrow batch; with BATCH_BYTES it bounds what a Python worker holds at a time.
-BATCH_ROWS = 4096
-BATCH_BYTES = 32 << 20
+BATCH_ROWS = 2048
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

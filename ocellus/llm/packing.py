@@ -26,7 +26,7 @@ from .common import cut, grouped_batches, prepare
 CAPACITY = 2048
 FULL = 0.98
 PART_ITEMS = 20_000
-PART_BYTES = 32 << 20
+PART_BYTES = 16 << 20
 #: A level that leaves more than this share of its items as underfull bins is the last.
 SHRINK = 0.95
 _LISTS = ("doc_ids", "starts", "lengths", "texts")

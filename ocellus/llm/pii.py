@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernels as K
-from .common import columns, cut, fresh, key_filter, may_hold, prepare
+from .common import columns, cut, fresh, key_filter, prepare
 
 KINDS = ("EMAIL", "IBAN", "IP", "PHONE", "SSN", "CARD")
 LABELERS = ("regex", "content", "gazetteer", "context")
@@ -273,12 +273,15 @@ def find_pii(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     return spans.withColumn("probability", judge("features")).filter("probability >= 0.5").select("doc_id", "start", "end", "kind", "probability")
 
 
-def masked(text: Column, asked: Column, weights) -> Column:
-    """The text with every span of personal data replaced by its kind in brackets, where asked. weights: a broadcast of train()."""
+def masked(text: Column, key: Column, asked, weights) -> Column:
+    """The text with every span of personal data replaced by its kind in brackets, where the filter holds the key.
+
+    asked: a broadcast KeyFilter; weights: a broadcast of train(). Both are looked at here, so that a task needs one Python worker.
+    """
 
     @F.arrow_udf("string")
-    def run(column: pa.Array, ask: pa.Array) -> pa.Array:
-        mine = np.flatnonzero(ask.to_numpy(zero_copy_only=False).astype(bool))
+    def run(column: pa.Array, keys: pa.Array) -> pa.Array:
+        mine = np.flatnonzero(asked.value.holds(keys.to_numpy()))
         batch = pa.RecordBatch.from_arrays([column.take(pa.array(mine))], ["text"])
         texts: dict[int, str] = {}
         found: list[tuple[int, int, int, str, int, list[int]]] = []
@@ -301,7 +304,7 @@ def masked(text: Column, asked: Column, weights) -> Column:
             out[mine[k]] = "".join(p) + texts[k][last[k] :]
         return pa.array(out, pa.string())
 
-    return run(text, asked)
+    return run(text, key)
 
 
 def mask_pii(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -314,8 +317,8 @@ def mask_pii(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     weights = spans.sparkSession.sparkContext.broadcast(train(spans, sample))
     name = lambda c: F.xxhash64(F.coalesce(c.cast("long"), F.lit(-1)))
     some = key_filter(spans.select(name(F.col("doc_id")).alias("k")).distinct(), "k")
-    new, ask = fresh(docs, "masked", "ask")
-    out = docs.withColumn(ask, may_hold(name(F.col("doc_id")), some)).withColumn(new, masked(F.col("text").cast("string"), F.col(ask), weights))
+    (new,) = fresh(docs, "masked")
+    out = docs.withColumn(new, masked(F.col("text").cast("string"), name(F.col("doc_id")), some, weights))
     changed = ~F.col(new).eqNullSafe(F.col("text"))
     cells = []
     for c, own in zip(docs.columns, columns(docs)):
