@@ -33,15 +33,15 @@ _powers: dict[str, np.ndarray] = {"p": np.ones(1, np.uint64), "i": np.ones(1, np
 
 
 def _power(kind: str, n: int) -> np.ndarray:
-    """The first n powers of the hash base ("p") or of its inverse ("i"), modulo 2^64."""
+    """The first n powers of the hash base ("p") or of its inverse ("i"), modulo 2^64. Those of very long texts are not kept."""
     have = _powers[kind]
     if len(have) < n:
-        base = _P if kind == "p" else _P_INV
-        have = np.full(1 << max(12, (n - 1).bit_length()), base, np.uint64)
+        have = np.full(n if n > 2 * SLICE_BYTES else 1 << max(12, (n - 1).bit_length()), _P if kind == "p" else _P_INV, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        _powers[kind] = have
-    return _powers[kind][:n]
+        if n <= 2 * SLICE_BYTES:
+            _powers[kind] = have
+    return have[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
