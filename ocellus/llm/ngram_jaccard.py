@@ -13,7 +13,8 @@ of documents whose sets have Jaccard similarity of at least a threshold:
    of. Groups that hold several nodes are then traversed as trees of these nodes, without any set. In the second round
    sets go only to those of their groups where their node may hold a partner of another node. Links make components.
 4. Every pair of similar sets that any link connects lies in one component, so each set goes to its component
-   once, and all pairs are found there.
+   once, and all pairs are found there. They are counted there, set by set (ngram_jaccard_classes), or listed
+   (ngram_jaccard_join); documents with one and the same set are counted, not paired, so that copies cost no pairs.
 
 Wherever sets meet, in 3 and 4, they meet in a *signature tree*: leaves are the members' token bitmaps, every node
 above holds the OR of its children's bitmaps and the range of their sizes. The tree is traversed against itself, a
@@ -429,6 +430,27 @@ def _pairs(t: float):
     return run
 
 
+def _counts(t: float):
+    """How many documents each set of a group is similar to (links); n: how many have the set itself, which do not count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped_batches(batches, _GROUP):
+            if group.num_rows < 2:
+                continue
+            g1, bi, bj = (group.column(c)[0].as_py() for c in ("g1", "bi", "bj"))
+            table, (s1, s2), sets = _members(group, ["s1", "s2"])
+            side = None if bi == bj else (table.column("b").to_numpy() == bj).astype(np.int64)
+            n, links = table.column("n").to_numpy(), np.zeros(len(sets), np.int64)
+            for i, j, _ in similar_pairs(sets, t, side):
+                np.add.at(links, i, n[j])
+                np.add.at(links, j, n[i])
+            at = np.flatnonzero(links)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), g1)), *(pa.array(c[at]) for c in (s1, s2, links))], ["g1", "s1", "s2", "links"])
+
+    return run
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, k, text): k names the row's number and text."""
     light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -544,6 +566,45 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
     return near.unionByName(copies)
 
 
+def ngram_jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, bands: int = BANDS) -> DataFrame:
+    """(doc_id, class_id, links): each document's class and its number of links, one row a doc_id.
+
+    Links are the pairs of ngram_jaccard_join(): links counts those that a document is in, copies and near copies alike,
+    and a class holds all documents that links connect, named by its smallest doc_id. Defined cases as there; besides, a
+    document without words or without partner is a class of its own with 0 links; rows with a null doc_id are left
+    out; a doc_id with several texts is one document, linked by any of them, and two texts of its own are no link.
+    """
+    keyed = _keyed(docs).filter("doc_id IS NOT NULL")
+    with Scratch(docs.sparkSession) as tables:
+        signed = tables.keep(_signed(keyed, n, bands))
+        components, packed = _components(keyed, signed, n, threshold, tables)
+        components = tables.keep(components)
+        own = signed.groupBy("doc_id", "s1", "s2").agg(F.first("size").alias("size"))
+        held = tables.keep(own.groupBy("s1", "s2").agg(F.first("size").alias("size"), F.count("*").alias("n")))
+
+        def counted(places: DataFrame) -> DataFrame:
+            places = places.join(places.groupBy("g1", "g2").agg(F.sum("size").alias("w")), ["g1", "g2"])
+            return _placed(packed, places, ["s1", "s2"], ["n"]).mapInArrow(_counts(threshold), "g1 long, s1 long, s2 long, links long")
+
+        near = counted(held.join(components, ["s1", "s2"]).withColumnsRenamed({"c1": "g1", "c2": "g2"})).groupBy("s1", "s2").agg(F.sum("links").alias("links"))
+        told = held.join(components, ["s1", "s2"], "left").join(near, ["s1", "s2"], "left")
+        told = told.select("s1", "s2", F.struct(F.coalesce("c1", "s1").alias("c1"), F.coalesce("c2", "s2").alias("c2")).alias("c"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"))
+        rows = tables.keep(own.join(told, ["s1", "s2"]))
+        found = tables.keep(rows.groupBy("doc_id").agg(F.min("c").alias("c"), F.sum("links").alias("links"), F.count("*").alias("sets")))
+        several = found.filter("sets > 1").select("doc_id", F.col("c").alias("first"))
+        if not several.isEmpty():  # a doc_id with several texts joins their classes; links between its own texts do not count
+            several = tables.keep(rows.join(several, "doc_id"))
+            joined = connected_components(several.select(F.col("first").alias("u"), F.col("c").alias("v")), tables)
+            inside = counted(several.select("s1", "s2", "size", F.col("doc_id").alias("g1"), F.col("c.c1").alias("g2"), F.lit(1).cast("long").alias("n")))
+            inside = inside.groupBy(F.col("g1").alias("doc_id")).agg(F.sum("links").alias("inside"))
+            found = found.join(inside, "doc_id", "left").withColumn("links", F.col("links") - F.coalesce("inside", F.lit(0)))
+            found = tables.keep(found.join(joined, F.col("c") == F.col("node"), "left").select("doc_id", F.coalesce("component", "c").alias("c"), "links"))
+        names = found.groupBy("c").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("m")).filter("m > 1")
+        found = found.join(names, "c", "left").select("doc_id", "class_id", "links")
+        every = keyed.select("doc_id").distinct().join(found, "doc_id", "left")
+        return cut(every.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links")))
+
+
 def connected_components(edges: DataFrame, tables: Scratch) -> DataFrame:
     """(node, component) of an undirected graph with edges (u, v) of any type that can be compared; a component is named by its smallest node.
 
@@ -601,7 +662,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHO
 
 
 ORACLE = f"""
-WITH w AS (
+WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
 ), g AS (
   SELECT DISTINCT doc_id, CASE WHEN len(w) >= 2 THEN w[i] || ' ' || w[i + 1] ELSE w[1] END AS g
@@ -610,8 +671,13 @@ WITH w AS (
 o AS (
   SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b, count(*) AS o
   FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
-)
-SELECT doc_id_a, doc_id_b, o / (x.n + y.n - o) AS jaccard
-FROM o JOIN n x ON x.doc_id = doc_id_a JOIN n y ON y.doc_id = doc_id_b
-WHERE o * (1 + {THRESHOLD}) >= {THRESHOLD} * (x.n + y.n) - 1e-9
+), p AS (
+  SELECT doc_id_a, doc_id_b FROM o JOIN n x ON x.doc_id = doc_id_a JOIN n y ON y.doc_id = doc_id_b
+  WHERE o * (1 + {THRESHOLD}) >= {THRESHOLD} * (x.n + y.n) - 1e-9
+), e AS (SELECT doc_id_a AS u, doc_id_b AS v FROM p UNION ALL SELECT doc_id_b, doc_id_a FROM p),
+r AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(l.links, 0) AS links
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d
+LEFT JOIN (SELECT u, min(v) AS class_id FROM r GROUP BY u) c ON c.u = d.doc_id
+LEFT JOIN (SELECT u, count(*) AS links FROM e GROUP BY u) l ON l.u = d.doc_id
 """

@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 import corpus_pipeline
 from ocellus.llm import kernels as K
 from ocellus.llm import language_id, license_scan, ngram_jaccard, packing, pii, quality_rules, secret_scan, source_mixing, telephony, toxicity
+from ocellus.llm import queries as corpus_queries
 from ocellus.llm.common import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -89,6 +90,55 @@ def test_blocks_of_hot_groups_give_the_same(spark, monkeypatch):
     assert len(split) == len(set(split)) and set(split) == whole and len(whole) > 500
 
 
+def by_document(ids, pairs):
+    """{doc_id: (class_id, links)} of a list of pairs."""
+    root, links = {k: k for k in ids}, Counter(x for p in pairs for x in p)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    return {k: (find(k), links[k]) for k in ids}
+
+
+def test_classes_and_links_are_those_of_the_pairs(spark, monkeypatch):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(80)]
+    rows += [(20_000 + k, " ".join(w if rng.random() > 0.03 else f"y{rng.random()}" for w in base)) for k in range(60)]  # near copies
+    rows += [(30_000 + k, rows[-1 - k % 3][1]) for k in range(30)]  # copies of some of them
+    rows += [(40_000, ""), (40_001, None), (40_002, "?!")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = by_document([k for k, _ in rows], list(brute_pairs(dict(rows))))
+    for block in ngram_jaccard.BLOCK_GRAMS, 700:
+        monkeypatch.setattr(ngram_jaccard, "BLOCK_GRAMS", block)
+        got = ngram_jaccard.ngram_jaccard_classes(d).collect()
+        assert len(got) == len(rows) and {r.doc_id: (r.class_id, r.links) for r in got} == want
+
+
+def test_rows_of_the_join_grow_as_the_documents(spark, tmp_path):
+    for n in (40, 80):
+        spark.createDataFrame([(k, "one text that all of these documents hold") for k in range(n)], "doc_id long, text string").write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        got = corpus_queries.QUERIES["op1_ngram_jaccard_join"](spark, f"{tmp_path}/{n}").collect()
+        assert len(got) == n and {(r.class_id, r.links) for r in got} == {(0, n - 1)}
+
+
+def test_classes_of_a_number_with_several_texts(spark):
+    words = [f"w{k}" for k in range(60)]
+    a, near = " ".join(words), " ".join([*words[:30], "other", *words[31:]])
+    b = " ".join(f"v{k}" for k in range(60))
+    rows = [(9, a), (9, a), (9, near), (9, b), (None, a), (3, a), (5, b), (7, "nothing like the others here"), (7, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = [(r.doc_id_a, r.doc_id_b) for r in ngram_jaccard.ngram_jaccard_join(d).collect()]
+    assert sorted(pairs) == [(3, 9), (3, 9), (5, 9)]
+    got = {r.doc_id: (r.class_id, r.links) for r in ngram_jaccard.ngram_jaccard_classes(d).collect()}
+    assert got == by_document([3, 5, 7, 9], pairs) == {3: (3, 2), 5: (3, 1), 7: (7, 0), 9: (3, 3)}
+
+
 def test_one_of_each_group_stays(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
