@@ -29,6 +29,7 @@ other pairs links it either: at similarity j the bands alone find 1 - (1 - j^3)^
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,8 @@ PICKS = 2
 SET_BITS = 1024
 #: Nodes up to which a group is traversed before its sets are there; larger ones are not thinned out.
 GROUP_NODES = 50_000
+#: How many places apart members are compared before a tree is traversed: enough to link most of a hot group in linear time.
+NEAR = 4
 #: Bits of a node that stands for sets which are linked.
 NODE_BITS = 4096
 #: Bits of a signature; up to so many different shared tokens a bitmap is exact.
@@ -165,6 +168,16 @@ class SignatureTree:
         ok[ok] = keep
         return ok, common[keep]
 
+    def close(self, t: float, near: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """As pairs(), but only of members up to `near` places apart."""
+        m, chunk = len(self.levels[0][1]), max(1, _CHUNK_WORDS // max(1, self.levels[0][0].shape[1]))
+        for k in range(1, min(near, m - 1) + 1):
+            for a in range(0, m - k, chunk):
+                p = np.arange(a, min(a + chunk, m - k))
+                ok, common = self._alive(0, p, p + k, t)
+                if ok.any():
+                    yield p[ok], p[ok] + k, common
+
     def pairs(self, t: float, skip=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(member, member, bits in common) that the bounds leave; skip(p, q) says which member pairs to pass over."""
         top = len(self.levels) - 1
@@ -214,10 +227,11 @@ def _bitmaps(member: np.ndarray, token: np.ndarray, members: int, width: int) ->
     return flat.reshape(members, words)
 
 
-def similar_pairs(sets: list[np.ndarray], t: float, side: np.ndarray | None = None, skip=None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def similar_pairs(sets: list[np.ndarray], t: float, side: np.ndarray | None = None, skip=None, near: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, overlap) of the pairs of sorted sets with Jaccard >= t, found with a signature tree.
 
     side: if given, only pairs of different sides. skip(i, j): pairs to pass over; asked as the search goes on.
+    near: pairs up to so many places apart come first, and then once more; for callers that may stop early.
     """
     m = len(sets)
     sizes = np.fromiter(map(len, sets), np.int64, m)
@@ -241,7 +255,7 @@ def similar_pairs(sets: list[np.ndarray], t: float, side: np.ndarray | None = No
     excess = np.zeros(m, np.int64) if exact else (sizes - lone)[order] - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
     tree = SignatureTree(bits, sizes[order], excess, side_of[order])
     mapped = None if skip is None else lambda p, q: skip(order[p], order[q])
-    for p, q, overlap in tree.pairs(t, mapped):
+    for p, q, overlap in chain(tree.close(t, near), tree.pairs(t, mapped)):
         i, j = order[p], order[q]
         if not exact:
             overlap = np.zeros(len(i), np.int64)
@@ -311,7 +325,7 @@ def _link(t: float):
             else:
                 side = label if len(first) < len(label) else None
             linked = False
-            for i, j, _ in similar_pairs(sets, t, side, lambda i, j: root[i] == root[j]):
+            for i, j, _ in similar_pairs(sets, t, side, lambda i, j: root[i] == root[j], NEAR):
                 while True:
                     a, b = root[i], root[j]
                     apart = a != b
@@ -324,6 +338,8 @@ def _link(t: float):
                         link = link[link]
                     root = link[root]
                     linked = True
+                if not root.any():  # all are linked to the first
+                    break
             if linked:
                 names, size = np.unique(root, return_counts=True)
                 i = np.flatnonzero(np.isin(root, names[size > 1]))
@@ -386,10 +402,15 @@ def _promising(t: float, names: list[str]):
             order = np.argsort(low, kind="stable")
             tree = SignatureTree(bits[order], low[order], excess[order], np.full(m, -1), high[order])
             alive = np.zeros(m, bool)
-            for p, q, _ in tree.pairs(t):
+            for p, q, _ in tree.close(t, NEAR):
                 alive[order[p]] = alive[order[q]] = True
-                if alive.all():
-                    break
+            if not alive.all():  # the others meet all; those that are told already do not meet each other
+                order = np.lexsort((low, alive))
+                tree = SignatureTree(bits[order], low[order], excess[order], np.where(alive[order], 0, -1), high[order])
+                for p, q, _ in tree.pairs(t):
+                    alive[order[p]] = alive[order[q]] = True
+                    if alive.all():
+                        break
             if alive.any():
                 yield pa.RecordBatch.from_arrays([pa.array(group.column(c).to_numpy()[alive]) for c in ("key", *names)], ["key", *names])
 

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -139,6 +140,33 @@ def test_classes_of_a_number_with_several_texts(spark):
     assert got == by_document([3, 5, 7, 9], pairs) == {3: (3, 2), 5: (3, 1), 7: (7, 0), 9: (3, 3)}
 
 
+def test_hot_groups_are_told_in_linear_time():
+    rng = np.random.default_rng(8)
+    m, width = 6_000, ngram_jaccard.SET_BITS // 8
+    base = np.zeros(8 * width, bool)
+    base[rng.permutation(8 * width)[:120]] = True
+    flags = np.repeat(base[None], m, 0)
+    flags[np.arange(m), rng.integers(0, 8 * width, m)] ^= True
+    flags[-1] = False
+    flags[-1, :70] = True  # alike none of them
+    bits = [x.tobytes() for x in np.packbits(flags, axis=1)]
+    size = pa.array(flags.sum(axis=1))
+    group = pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int64)), pa.array(np.arange(m)), size, size, pa.array(bits, pa.binary())], ["key", "s1", "low", "high", "bits"])
+    met, alive = [], ngram_jaccard.SignatureTree._alive
+
+    def counted(self, level, p, q, t):
+        met.append(len(p))
+        return alive(self, level, p, q, t)
+
+    ngram_jaccard.SignatureTree._alive = counted
+    try:
+        (out,) = ngram_jaccard._promising(0.55, ["s1"])(iter([group]))
+    finally:
+        ngram_jaccard.SignatureTree._alive = alive
+    assert sorted(out.column("s1").to_pylist()) == list(range(m - 1))
+    assert sum(met) < 40 * m
+
+
 def test_one_of_each_group_stays(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
