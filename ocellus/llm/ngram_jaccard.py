@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import kernels as K
-from .common import Scratch, columns, cut, fresh, grouped_batches, key_filter, may_hold, orderable, prepare
+from .common import Scratch, columns, cut, fresh, grouped_batches, key_filter, lean, may_hold, orderable, prepare
 
 N = 2
 THRESHOLD = 0.55
@@ -481,7 +481,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _signed(keyed: DataFrame, n: int, bands: int) -> DataFrame:
     """(doc_id, k, s1, s2, size, bits, bands) of the documents with words."""
     prepare(keyed.sparkSession)
-    return keyed.mapInArrow(_sign(n, bands, ROWS), "doc_id long, k long, s1 long, s2 long, size int, bits binary, bands array<long>")
+    return keyed.mapInArrow(lean(_sign(n, bands, ROWS)), "doc_id long, k long, s1 long, s2 long, size int, bits binary, bands array<long>")
 
 
 def _routes(signed: DataFrame, tables: Scratch) -> DataFrame:
@@ -517,15 +517,15 @@ def _components(keyed: DataFrame, signed: DataFrame, n: int, threshold: float, t
     bits = bits.groupBy("s1", "s2").agg(F.first("size").alias("low"), F.first("bits").alias("bits")).withColumn("high", F.col("low"))
     large = F.col("m") > GROUP_NODES
     met = routes.filter(~large).select("s1", "key").join(bits, "s1").repartition("key").sortWithinPartitions("key")
-    met = met.select("key", "s1", "low", "high", "bits").mapInArrow(_promising(threshold, ["s1"]), "key long, s1 long")
+    met = met.select("key", "s1", "low", "high", "bits").mapInArrow(lean(_promising(threshold, ["s1"])), "key long, s1 long")
     routes = tables.keep(routes.join(met.distinct(), ["key", "s1"]).unionByName(routes.filter(large)))
     live = tables.keep(signed.select("s1", "s2", "k").join(routes.select("s1").distinct(), "s1").groupBy("s1", "s2").agg(F.min("k").alias("k")))
     wanted = key_filter(live, "k")
-    packed = tables.keep(keyed.select("k", "text").mapInArrow(_grams(n, wanted), "s1 long, s2 long, grams binary"))
+    packed = tables.keep(keyed.select("k", "text").mapInArrow(lean(_grams(n, wanted)), "s1 long, s2 long, grams binary"))
     link = _link(threshold)
 
     def linked(rows: DataFrame, places: DataFrame) -> DataFrame:
-        edges = _placed(rows, places, ["s1", "s2"], ["c1", "c2"]).mapInArrow(link, "u1 long, u2 long, v1 long, v2 long")
+        edges = _placed(rows, places, ["s1", "s2"], ["c1", "c2"]).mapInArrow(lean(link), "u1 long, u2 long, v1 long, v2 long")
         return edges.select(F.struct(F.col("u1").alias("s1"), F.col("u2").alias("s2")).alias("u"), F.struct(F.col("v1").alias("s1"), F.col("v2").alias("s2")).alias("v"))
 
     zero = F.lit(0).cast("long").alias("g2")
@@ -540,11 +540,11 @@ def _components(keyed: DataFrame, signed: DataFrame, n: int, threshold: float, t
     seats = rest.groupBy("key", "c1", "c2").agg(F.count("*").alias("n")).withColumn("labels", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("labels > 1")
     seats = tables.keep(seats.select("key", "c1", "c2", "labels"))
     few = F.col("labels") <= GROUP_NODES
-    bits = packed.mapInArrow(_bits, "s1 long, s2 long, size long, excess long, bits binary").join(labelled, ["s1", "s2"])
+    bits = packed.mapInArrow(lean(_bits), "s1 long, s2 long, size long, excess long, bits binary").join(labelled, ["s1", "s2"])
     bits = bits.join(seats.select("c1", "c2").distinct(), ["c1", "c2"]).repartition("c1", "c2").sortWithinPartitions("c1", "c2")
-    nodes = bits.select("c1", "c2", "size", "excess", "bits").mapInArrow(_node, "c1 long, c2 long, low long, high long, excess long, bits binary")
+    nodes = bits.select("c1", "c2", "size", "excess", "bits").mapInArrow(lean(_node), "c1 long, c2 long, low long, high long, excess long, bits binary")
     seated = seats.filter(few).join(nodes, ["c1", "c2"]).select("key", "c1", "c2", "low", "high", "excess", "bits").repartition("key").sortWithinPartitions("key")
-    seated = seated.mapInArrow(_promising(threshold, ["c1", "c2"]), "key long, c1 long, c2 long").unionByName(seats.filter(~few).select("key", "c1", "c2"))
+    seated = seated.mapInArrow(lean(_promising(threshold, ["c1", "c2"])), "key long, c1 long, c2 long").unionByName(seats.filter(~few).select("key", "c1", "c2"))
     places = rest.join(seated, ["key", "c1", "c2"])
     places = tables.keep(places.select("s1", "s2", F.col("key").alias("g1"), zero, "w", "c1", "c2"))
     again = key_filter(places.select("s1").distinct(), "s1")
@@ -580,7 +580,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD
         left = lists.select("s1", "s2", F.col("part").alias("pa"), F.col("ids").alias("a"))
         right = lists.select("s1", "s2", F.col("part").alias("pb"), F.col("ids").alias("b"))
         twice = cut(left.join(right, ["s1", "s2"]).filter("pa < pb OR (pa = pb AND size(a) > 1)").select("pa", "pb", "a", "b"))
-    near = together.mapInArrow(_pairs(threshold), "doc_id_a long, doc_id_b long, jaccard double")
+    near = together.mapInArrow(lean(_pairs(threshold)), "doc_id_a long, doc_id_b long, jaccard double")
     copies = twice.select("pa", "pb", F.explode("a").alias("x"), "b")
     copies = copies.select("x", F.explode(F.filter("b", lambda y: (F.col("pa") < F.col("pb")) | (y > F.col("x")))).alias("y"))
     copies = copies.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b"), F.lit(1.0).alias("jaccard"))
@@ -605,7 +605,7 @@ def ngram_jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESH
 
         def counted(places: DataFrame) -> DataFrame:
             places = places.join(places.groupBy("g1", "g2").agg(F.sum("size").alias("w")), ["g1", "g2"])
-            return _placed(packed, places, ["s1", "s2"], ["n"]).mapInArrow(_counts(threshold), "g1 long, s1 long, s2 long, links long")
+            return _placed(packed, places, ["s1", "s2"], ["n"]).mapInArrow(lean(_counts(threshold)), "g1 long, s1 long, s2 long, links long")
 
         near = counted(held.join(components, ["s1", "s2"]).withColumnsRenamed({"c1": "g1", "c2": "g2"})).groupBy("s1", "s2").agg(F.sum("links").alias("links"))
         told = held.join(components, ["s1", "s2"], "left").join(near, ["s1", "s2"], "left")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import kernels as K
-from .common import columns, cut, fresh, key_filter, prepare
+from .common import columns, cut, fresh, key_filter, lean, prepare, release
 
 KINDS = ("EMAIL", "IBAN", "IP", "PHONE", "SSN", "CARD")
 LABELERS = ("regex", "content", "gazetteer", "context")
@@ -229,7 +229,7 @@ def propose(docs: DataFrame) -> DataFrame:
     """(doc_id, start, end, kind, votes, features) of every candidate span of docs."""
     prepare(docs.sparkSession)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
-    return plain.mapInArrow(_propose, "doc_id long, start int, end int, kind string, votes int, features array<int>")
+    return plain.mapInArrow(lean(_propose), "doc_id long, start int, end int, kind string, votes int, features array<int>")
 
 
 def train(spans: DataFrame, sample: int = SAMPLE) -> np.ndarray:
@@ -302,7 +302,13 @@ def masked(text: Column, key: Column, asked, weights) -> Column:
         out = column.to_pylist()
         for k, p in parts.items():
             out[mine[k]] = "".join(p) + texts[k][last[k] :]
-        return pa.array(out, pa.string())
+        texts.clear()
+        found.clear()
+        parts.clear()
+        new = pa.array(out, pa.string())
+        del out, batch
+        release()
+        return new
 
     return run(text, key)
 

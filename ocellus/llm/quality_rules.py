@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import columns, cut, fresh, prepare, small
+from .common import columns, cut, fresh, prepare, release, small
 
 #: The body of a distribution ends where less than one in TAIL documents lie within RATIO times the value.
 TAIL = 200
@@ -89,7 +89,10 @@ def signals(text: Column) -> Column:
 
     @F.arrow_udf(_TYPE)
     def run(column: pa.Array) -> pa.Array:
-        return _signals(column)
+        try:
+            return _signals(column)
+        finally:
+            release()
 
     return run(text)
 

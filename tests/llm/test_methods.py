@@ -1,8 +1,10 @@
 """The operators against brute-force versions, exact round trips and held-out accuracy."""
 
+import os
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +16,7 @@ import corpus_pipeline
 from ocellus.llm import kernels as K
 from ocellus.llm import language_id, license_scan, ngram_jaccard, packing, pii, quality_rules, secret_scan, source_mixing, telephony, toxicity
 from ocellus.llm import queries as corpus_queries
-from ocellus.llm.common import Scratch
+from ocellus.llm.common import Scratch, lean
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.001"
@@ -425,6 +427,24 @@ def test_pii_finds_what_is_planted(spark):
     assert len(want - got) <= 0.01 * len(want) and not got - want
 
 
+def test_workers_give_memory_back():
+    def resident():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    pins = []
+
+    def run(batches):
+        for batch in batches:
+            held = [b"x" * 50_000 for _ in range(4_000)]  # 200 MB in small blocks
+            pins.append(held[-1])  # the end of the heap stays in use
+            del held
+            yield batch
+
+    before = resident()
+    assert len(list(lean(run)(iter([pa.RecordBatch.from_pydict({"x": [1]})])))) == 1
+    assert resident() - before < 100e6
+
+
 def test_pii_of_a_rare_kind(spark):
     rng = random.Random(9)
     rows = [(k, f"order {rng.randrange(10**15, 2 * 10**15)} was sent") for k in range(6000)]
