@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ocellus.functions.config import ConfigError, InferenceConfig, PostprocessError
 from ocellus.functions.text import output_stem
@@ -20,6 +21,33 @@ _GEOMETRY = ("orig_h", "orig_w", "in_h", "in_w", "scale", "pad_top", "pad_left")
 _GEOMETRY_DDL = "orig_h int, orig_w int, in_h int, in_w int, scale float, pad_top float, pad_left float"
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The rows of batches, made one at a time: a row holds a whole image's outputs."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
+def head_tensors(head: DataFrame, *geometry: str) -> DataFrame:
+    """(image_id, geometry, data, shape): an image's predictions in the order of pred_id as one binary tensor of (1, predictions, 4 + classes).
+
+    A Python worker holds one image's rows at a time, as Arrow columns; missing values become NaN.
+    """
+
+    def tensor(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        rows = rows.take(np.argsort(rows["pred_id"].to_numpy(), kind="stable")).combine_chunks()
+        floats = lambda x: np.asarray(x.to_numpy(zero_copy_only=False), "<f4")
+        scores = floats(rows["scores"].chunk(0).flatten()).reshape(rows.num_rows, -1)
+        a = np.concatenate([np.stack([floats(rows[c].chunk(0)) for c in ("cx", "cy", "w", "h")], axis=1), scores], axis=1)
+        values = [*key, a.tobytes(), [1, *a.shape]]
+        return pa.table([pa.array([v], t) for v, t in zip(values, (*(k.type for k in key), pa.binary(), pa.list_(pa.int32())))], names=names)
+
+    names = ["image_id", *geometry, "data", "shape"]
+    rows = head.select("image_id", *geometry, "pred_id", "cx", "cy", "w", "h", "scores")
+    keys = T.StructType([rows.schema[c] for c in ("image_id", *geometry)])
+    return rows.groupBy("image_id", *geometry).applyInArrow(tensor, T.StructType([*keys, T.StructField("data", T.BinaryType()), T.StructField("shape", T.ArrayType(T.IntegerType()))]))
+
+
 def explode_head(raw: DataFrame, classes: int, extra: int, conf: float) -> DataFrame:
     """One row a prediction of the first output: (image_id, pred_id, cx, cy, w, h, scores, extra) and the geometry.
 
@@ -29,25 +57,24 @@ def explode_head(raw: DataFrame, classes: int, extra: int, conf: float) -> DataF
     width = 4 + classes + extra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["error"] or not row["outputs"]:
-                    continue
-                out = row["outputs"][0]
-                a = np.frombuffer(out["data"], "<f4")
-                dims = out["shape"][1:] if len(out["shape"]) == 3 else out["shape"]
-                if len(dims) != 2 or a.size != dims[0] * dims[1] or width not in dims:
-                    continue
-                a = a.reshape(dims)
-                a = a.T if dims[0] == width else a
-                best = np.where(np.isnan(a[:, 4 : 4 + classes]), -np.inf, a[:, 4 : 4 + classes]).max(axis=1, initial=-np.inf)
-                at = np.flatnonzero(best >= np.float32(conf))
-                a = a[at]
-                n = len(at)
-                lists = lambda x: pa.array(list(x), pa.list_(pa.float32()))
-                cols = [pa.array([row["image_id"]] * n, pa.int64()), pa.array(at, pa.int64()), *(pa.array(np.ascontiguousarray(a[:, k])) for k in range(4)), lists(a[:, 4 : 4 + classes]), lists(a[:, 4 + classes :])]
-                cols += [pa.array([row[g]] * n, pa.int32() if k < 4 else pa.float32()) for k, g in enumerate(_GEOMETRY)]
-                yield pa.RecordBatch.from_arrays(cols, ["image_id", "pred_id", "cx", "cy", "w", "h", "scores", "extra", *_GEOMETRY])
+        for row in _each(batches):
+            if row["error"] or not row["outputs"]:
+                continue
+            out = row["outputs"][0]
+            a = np.frombuffer(out["data"], "<f4")
+            dims = out["shape"][1:] if len(out["shape"]) == 3 else out["shape"]
+            if len(dims) != 2 or a.size != dims[0] * dims[1] or width not in dims:
+                continue
+            a = a.reshape(dims)
+            a = a.T if dims[0] == width else a
+            best = np.where(np.isnan(a[:, 4 : 4 + classes]), -np.inf, a[:, 4 : 4 + classes]).max(axis=1, initial=-np.inf)
+            at = np.flatnonzero(best >= np.float32(conf))
+            a = a[at]
+            n = len(at)
+            lists = lambda x: pa.array(list(x), pa.list_(pa.float32()))
+            cols = [pa.array([row["image_id"]] * n, pa.int64()), pa.array(at, pa.int64()), *(pa.array(np.ascontiguousarray(a[:, k])) for k in range(4)), lists(a[:, 4 : 4 + classes]), lists(a[:, 4 + classes :])]
+            cols += [pa.array([row[g]] * n, pa.int32() if k < 4 else pa.float32()) for k, g in enumerate(_GEOMETRY)]
+            yield pa.RecordBatch.from_arrays(cols, ["image_id", "pred_id", "cx", "cy", "w", "h", "scores", "extra", *_GEOMETRY])
 
     schema = f"image_id long, pred_id long, cx float, cy float, w float, h float, scores array<float>, extra array<float>, {_GEOMETRY_DDL}"
     return raw.select("image_id", "outputs", "error", *_GEOMETRY).mapInArrow(run, schema)
@@ -57,16 +84,15 @@ def explode_rows(raw: DataFrame) -> DataFrame:
     """One row a final prediction (box, conf, cls, extra) of an end-to-end output."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["error"] or not row["outputs"]:
-                    continue
-                out = row["outputs"][0]
-                a = np.frombuffer(out["data"], "<f4").reshape(out["shape"])[0]
-                n = len(a)
-                cols = [pa.array([row["image_id"]] * n, pa.int64()), pa.array(np.arange(n)), *(pa.array(np.ascontiguousarray(a[:, k])) for k in range(5)), pa.array(np.nan_to_num(a[:, 5]).astype(np.int32)), pa.array(list(a[:, 6:]), pa.list_(pa.float32()))]
-                cols += [pa.array([row[g]] * n, pa.int32() if k < 4 else pa.float32()) for k, g in enumerate(_GEOMETRY)]
-                yield pa.RecordBatch.from_arrays(cols, ["image_id", "pred_id", "x1", "y1", "x2", "y2", "conf", "cls", "extra", *_GEOMETRY])
+        for row in _each(batches):
+            if row["error"] or not row["outputs"]:
+                continue
+            out = row["outputs"][0]
+            a = np.frombuffer(out["data"], "<f4").reshape(out["shape"])[0]
+            n = len(a)
+            cols = [pa.array([row["image_id"]] * n, pa.int64()), pa.array(np.arange(n)), *(pa.array(np.ascontiguousarray(a[:, k])) for k in range(5)), pa.array(np.nan_to_num(a[:, 5]).astype(np.int32)), pa.array(list(a[:, 6:]), pa.list_(pa.float32()))]
+            cols += [pa.array([row[g]] * n, pa.int32() if k < 4 else pa.float32()) for k, g in enumerate(_GEOMETRY)]
+            yield pa.RecordBatch.from_arrays(cols, ["image_id", "pred_id", "x1", "y1", "x2", "y2", "conf", "cls", "extra", *_GEOMETRY])
 
     schema = f"image_id long, pred_id long, x1 float, y1 float, x2 float, y2 float, conf float, cls int, extra array<float>, {_GEOMETRY_DDL}"
     return raw.select("image_id", "outputs", "error", *_GEOMETRY).mapInArrow(run, schema)

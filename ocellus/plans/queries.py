@@ -350,25 +350,17 @@ def end2end_obb(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH RECURSIVE {DETECT_HIGH} SELECT {BOX_OUT} FROM clipped")
 def engine_halves(spark: SparkSession, d: str) -> DataFrame:
     """The engine's second half over outputs as a model gives them: one binary tensor an image."""
-    from ocellus.plans.engine import explode_head
+    from ocellus.plans.engine import explode_head, head_tensors
 
     geometry = ("orig_h", "orig_w", "scale", "pad_top", "pad_left")
-    row = F.struct("pred_id", F.concat(F.array("cx", "cy", "w", "h"), "scores").alias("v"))
-    images = A.head(spark, d).groupBy("image_id", *geometry).agg(F.array_sort(F.collect_list(row)).alias("p"))
-
-    @F.arrow_udf("binary")
-    def tensor(v):
-        import numpy as np
-        import pyarrow as pa
-
-        return pa.array([np.array(x, "<f4").tobytes() for x in v.to_pylist()], pa.binary())
-
-    width = F.size(F.get("p", F.lit(0))["v"])
-    output = F.struct(tensor(F.flatten(F.transform("p", lambda x: x["v"]))).alias("data"), F.array(F.lit(1), F.size("p"), width).alias("shape"))
-    raw = images.select("image_id", F.array(output).alias("outputs"), F.lit(None).cast("string").alias("error"), "orig_h", "orig_w", F.lit(640).alias("in_h"), F.lit(640).alias("in_w"), *(F.col(c).cast("float").alias(c) for c in geometry[2:]), F.transform("p", lambda x: x["pred_id"]).alias("ids"))
+    head = A.head(spark, d)
+    raw = head_tensors(head, *geometry).select(
+        "image_id", F.array(F.struct("data", "shape")).alias("outputs"), F.lit(None).cast("string").alias("error"), "orig_h", "orig_w", F.lit(640).alias("in_h"), F.lit(640).alias("in_w"), *(F.col(c).cast("float").alias(c) for c in geometry[2:])
+    )
+    ids = head.groupBy("image_id").agg(F.array_sort(F.collect_list("pred_id")).alias("ids"))
     classes = A.head(spark, d).select(F.size("scores")).first()[0]
     found = decode.detect(explode_head(raw, classes, 0, PAIRS.conf), PAIRS)
-    numbered = found.withColumnRenamed("pred_id", "place").join(raw.select("image_id", "ids"), "image_id").withColumn("pred_id", F.get("ids", F.col("place").cast("int")))
+    numbered = found.withColumnRenamed("pred_id", "place").join(ids, "image_id").withColumn("pred_id", F.get("ids", F.col("place").cast("int")))
     return _boxes(numbered)
 
 

@@ -370,6 +370,53 @@ def test_payloads(spark):
     assert json.loads(sinks.keypoint_payload(poses).first().keypoints) == [[[1.0, 2.0, None]]]
 
 
+def test_outputs_are_made_one_image_at_a_time(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from ocellus.plans import engine
+
+    class Raw:
+        """Gives the function that would run in the Python worker."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    geometry = {"orig_h": 640, "orig_w": 640, "in_h": 640, "in_w": 640, "scale": 1.0, "pad_top": 0.0, "pad_left": 0.0}
+    for run, width in ((engine.explode_head(Raw(), 4, 0, 0.5), 8), (engine.explode_rows(Raw()), 6)):
+        one = np.full((1, 500_000 // width, width), 0.1, "<f4")
+        one[0, 0, 4] = 0.9
+        batch = pa.RecordBatch.from_pylist([{"image_id": k, "outputs": [{"data": one.tobytes(), "shape": list(one.shape)}], "error": None} | geometry for k in range(30)])
+        found, peak = [], 0
+        tracemalloc.start()
+        for out in run(iter([batch])):
+            found.append((out["image_id"][0].as_py(), out.num_rows))
+            peak = max(peak, tracemalloc.get_traced_memory()[0])
+            tracemalloc.reset_peak()
+        tracemalloc.stop()
+        assert found == [(k, 1 if width == 8 else one.shape[1]) for k in range(30)]
+        assert peak < 10 * one.nbytes  # of 30
+
+
+def test_tensor_of_an_image(spark):
+    from ocellus.plans.engine import head_tensors
+
+    rows = [(7, 2, 1.0, 2.0, 3.0, 4.0, [0.5, None], 480), (7, 1, None, 6.0, 7.0, 8.0, [0.25, 0.75], 480), (8, 1, 1.0, 1.0, 1.0, 1.0, [1.0, 0.0], 720)]
+    head = spark.createDataFrame(rows, "image_id long, pred_id long, cx float, cy float, w float, h float, scores array<float>, orig_h int")
+    got = {r.image_id: r for r in head_tensors(head, "orig_h").collect()}
+    assert [(got[k].shape, got[k].orig_h) for k in (7, 8)] == [([1, 2, 6], 480), ([1, 1, 6], 720)]
+    want = [[np.nan, 6, 7, 8, 0.25, 0.75], [1, 2, 3, 4, 0.5, np.nan]]
+    assert np.array_equal(np.frombuffer(got[7].data, "<f4").reshape(2, 6), np.array(want, "<f4"), equal_nan=True)
+
+
+def test_engine_halves_makes_no_tensors_of_many_images_at_once(spark):
+    assert "ArrowEvalPython" not in QUERIES["engine_halves"](spark, SF)._jdf.queryExecution().toString()
+
+
 def test_stream_equals_batch(spark):
     small = adapters.head(spark, SF).filter("image_id < 4")
     config = InferenceConfig(conf=0.9, iou=0.45)
