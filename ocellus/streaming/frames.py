@@ -51,14 +51,23 @@ def event_counts(events: DataFrame, every: str = "5 minutes", late: str = "10 mi
     return timed.groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count("*").alias("n"))
 
 
+#: Rows of a head table that one file of replay() holds, about; a task shuffles and writes one file.
+ROWS_A_FILE = 500_000
+
+
 def replay(head: DataFrame, config: InferenceConfig, files: int = 4) -> DataFrame:
-    """Runs a head table through detect_stream() and returns what the stream wrote; equal to decode.detect(head)."""
+    """Runs a head table through detect_stream() and returns what the stream wrote; equal to decode.detect(head).
+
+    The table is counted and written as files of whole images: as many as its rows ask for, `files` at least. They arrive
+    in as many micro-batches as `files` says, so that a batch grows with the table and is shared by more tasks.
+    """
     from ocellus.sources.sinks import shared_folder
 
     spark = head.sparkSession
     base = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
-    head.repartition(files, "image_id").write.parquet(f"{base}/in")
-    detect_stream(head_stream(spark, f"{base}/in", head.schema), config, f"{base}/out", f"{base}/state").awaitTermination()
+    parts = max(files, -(-head.count() // ROWS_A_FILE))
+    head.repartition(parts, "image_id").write.parquet(f"{base}/in")
+    detect_stream(head_stream(spark, f"{base}/in", head.schema, -(-parts // files)), config, f"{base}/out", f"{base}/state").awaitTermination()
     out = spark.read.parquet(f"{base}/out").drop("batch_id").checkpoint(eager=True)
     path = spark._jvm.org.apache.hadoop.fs.Path(base)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -424,6 +424,27 @@ def test_stream_equals_batch(spark):
     assert {(r.image_id, r.det_rank, r.pred_id) for r in frames.replay(small, config).collect()} == want
 
 
+def test_stream_files_grow_in_number_not_in_size(spark, monkeypatch):
+    seen = []
+    own = frames.head_stream
+
+    def spied(spark, folder, schema, files_per_batch=1):
+        by_file = spark.read.parquet(folder).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("rows"), F.collect_set("image_id").alias("images"))
+        seen.append(([r.rows for r in by_file.collect()], [i for r in by_file.collect() for i in r.images], files_per_batch))
+        return own(spark, folder, schema, files_per_batch)
+
+    monkeypatch.setattr(frames, "head_stream", spied)
+    monkeypatch.setattr(frames, "ROWS_A_FILE", 100, raising=False)
+    rows = [(image, k, 20.0 * k, 50.0, 10.0, 10.0, [0.99, 0.1], [], 640, 640, 1.0, 0.0, 0.0) for image in range(400) for k in range(5)]
+    config = InferenceConfig(conf=0.9, iou=0.45)
+    table = spark.createDataFrame(rows, HEAD)
+    assert {(r.image_id, r.det_rank, r.pred_id) for r in frames.replay(table, config).collect()} == {(r[0], r[1], r[1]) for r in rows}
+    ((sizes, image_ids, files_per_batch),) = seen
+    assert sum(sizes) == len(rows) and max(sizes) < 250  # a fourth of the table is 500
+    assert sorted(image_ids) == list(range(400))  # no image is in two files
+    assert len(sizes) <= 20 and files_per_batch == 5
+
+
 def test_frame_folder_as_a_stream(spark, folder, tmp_path):
     seen = []
     q = frames.frame_stream(spark, folder, 2).writeStream.foreachBatch(lambda df, k: seen.append(df.count())).option("checkpointLocation", str(tmp_path)).trigger(availableNow=True).start()
